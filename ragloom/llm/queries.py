@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import tokenize
+from ragloom.llm import leakage, spam, tokenize
 from ragloom.runtime import table
 
 
@@ -12,9 +12,40 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact and re-parameterised leaks, with the number of the item's windows."""
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "test_item"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_leaks(spark, sf_dir).where("kind = 'exact'").select("item_id", "doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.rate(table(spark, sf_dir, "documents"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_scores(spark, sf_dir).where("spam").select("doc_id")
+
+
+_WINDOWS = r"""
+WITH w AS (
+  SELECT {key}, list_filter(string_split_regex(lower(regexp_replace(text, '\p{{Cf}}', '', 'g')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM {table} WHERE text IS NOT NULL AND {key} IS NOT NULL)
+SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SELECT unnest(range(1, len(w) - 10)) AS i)
+"""
+
+
 def queries() -> dict:
-    return {"p8_ids": p8_ids}
+    return {f.__name__: f for f in (p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "p9_found": "SELECT DISTINCT item_id, doc_id FROM ("
+        + _WINDOWS.format(key="item_id", table="test_item")
+        + ") a JOIN ("
+        + _WINDOWS.format(key="doc_id", table="documents")
+        + ") b USING (s)",
+    }
