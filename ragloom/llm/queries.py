@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import leakage, spam, tokenize
+from ragloom.llm import leakage, spam, syntax, tokenize
 from ragloom.runtime import table
 
 
+def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number of errors, first line and first cause of every stored file."""
+    return syntax.verdicts(table(spark, sf_dir, "code_file")).drop("errors")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.verdicts(table(spark, sf_dir, "code_file")).where("n_errors > 0").select("file_path").distinct()
+
+
+def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syntax.rates(syntax.verdicts(table(spark, sf_dir, "code_file")))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -38,7 +51,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p4_found, p4_verdicts, p4_rates, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict:
