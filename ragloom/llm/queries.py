@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.llm import leakage, spam, syntax, tokenize
+from ragloom.llm import documented, leakage, spam, syntax, tokenize
 from ragloom.runtime import table
 
 
@@ -21,6 +21,14 @@ def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syntax.rates(syntax.verdicts(table(spark, sf_dir, "code_file")))
 
 
+def p7_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.pairs(table(spark, sf_dir, "code_chunk"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documented.pairs(table(spark, sf_dir, "code_chunk"), with_code=False).select("file_path", "func_name")
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenize.encode(table(spark, sf_dir, "documents"))
 
@@ -51,7 +59,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p4_verdicts, p4_rates, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict:
