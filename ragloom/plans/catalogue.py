@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.plans import ranking_queries
+from ragloom.plans import piece_queries, ranking_queries
+
+_MODULES = (ranking_queries, piece_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return dict(ranking_queries.QUERIES)
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return dict(ranking_queries.SQL)
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
