@@ -11,6 +11,9 @@ Generated, minified and data files are told by header and layout rules on each t
 opening comments that says the file itself is a tool's output; functions that are numbered siblings;
 dense long lines; texts that are mostly literals or an encoded dump.
 
+A copy that only one repository holds has no partner; it is told by its opening comments (a release
+banner or upstream note that names the file's own library) or by a folder kept for foreign code.
+
 A directory's hash is a sum and an exclusive or over its children, so that a directory with any
 share of all files is combined on the map side; hot hashes are aggregated by (hash, repository)
 first. No group is collected.
@@ -54,6 +57,24 @@ _COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")
 _WORDY = re.compile(r"[A-Za-z_]\w*")
 _DUMP = re.compile(r"^(?:[0-9a-fA-F]{6,16}[:\s]+)?(?:[0-9a-fA-F]{2,8}[\s|]+){7,}.*$|^[A-Za-z0-9+/=]{50,}$", re.M)
 _BLOB = re.compile(r'"(?:\\x[0-9a-fA-F]{2}|[A-Za-z0-9+/=]){40,}"')
+# Folders that hold foreign code.
+FOREIGN = frozenset("third_party third-party thirdparty 3rdparty vendor vendored extern external externals deps contrib node_modules".split())
+_UPSTREAM = re.compile(r"\bupstream\s+copy\b|\bpublic\s+release\b|\bsingle-(?:file|header)\s+library\b|\bvendored\s+(?:from|copy)\b", re.I)
+_VERSION = re.compile(r"\bv?\d+\.\d+(?:\.\d+)*\b")
+
+
+def foreign(path: str, text: str) -> bool:
+    """Whether the path or the opening comments say that the file comes from another project."""
+    parts = path.lower().split("/")
+    if FOREIGN.intersection(parts[2:-1]):
+        return True
+    opening = _OPENING.match(text)
+    if not opening:
+        return False
+    head = opening.group()
+    stem = re.sub(r"(?:[_-](?:core|impl|amalgamated|all))?\.\w+$", "", parts[-1])
+    named = len(stem) > 3 and any(stem in line.lower() and (_VERSION.search(line) or _UPSTREAM.search(line)) for line in head.split("\n"))
+    return named and bool(_UPSTREAM.search(head) or "spdx-license-identifier" in head.lower())
 
 
 def numbered(code: str) -> float:
@@ -112,7 +133,8 @@ def content_kinds(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = batch.column(0).to_pylist()
-            got = [(p, k) for p, t in zip(paths, batch.column(1).to_pylist()) if (k := kind(t.replace("\r\n", "\n")))]
+            texts = [t.replace("\r\n", "\n") for t in batch.column(1).to_pylist()]
+            got = [(p, k) for p, t in zip(paths, texts) if (k := kind(t) or ("vendored" if t.strip() and foreign(p, t) else None))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([k for _, k in got], pa.string())], names=["file_path", "kind"])
 
     rows = files.where("file_path IS NOT NULL AND text IS NOT NULL").select("file_path", "text")
