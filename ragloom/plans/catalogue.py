@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.plans import piece_queries, ranking_queries
+from ragloom.plans import linkage_queries, piece_queries, ranking_queries
 
-_MODULES = (ranking_queries, piece_queries)
+_MODULES = (ranking_queries, piece_queries, linkage_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
