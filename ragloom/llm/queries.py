@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import documented, leakage, provenance, spam, syntax, tokenize
+from ragloom.llm import documented, leakage, provenance, scans, spam, syntax, tokenize
 from ragloom.runtime import table
 
 
@@ -18,6 +18,14 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return provenance.not_hand_written(table(spark, sf_dir, "code_file")).select("file_path")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise_of(table(spark, sf_dir, "pdf_page"))
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.paragraphs(table(spark, sf_dir, "pdf_page"))
+
+
 def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of errors, first line and first cause of every stored file."""
     return syntax.verdicts(table(spark, sf_dir, "code_file")).drop("errors")
@@ -69,7 +77,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
 
 
 def oracle_sql() -> dict:
