@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.plans import linkage_queries, piece_queries, ranking_queries
+from ragloom.plans import linkage_queries, piece_queries, ranking_queries, reference_queries
 
-_MODULES = (ranking_queries, piece_queries, linkage_queries)
+_MODULES = (reference_queries, ranking_queries, piece_queries, linkage_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking_queries.p3_found(spark, sf_dir)
+    return reference_queries.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
