@@ -220,15 +220,15 @@ def chunk_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunk_pages(table(spark, sf_dir, "pdf_page"), size=700, overlap=100).select("id", "page_number", "start_char")
 
 
-_SPLIT_SQL = """
+_SPLIT_SQL = r"""
 WITH RECURSIVE d AS (SELECT {key} AS k, text FROM {table} WHERE text IS NOT NULL AND length(text) > {size}),
 s AS (
   SELECT k, text, 0 AS pos, 0 AS n, '' AS piece FROM d
   UNION ALL
   SELECT k, text, pos + length(p), n + 1, p FROM (
     SELECT k, text, pos, n, CASE WHEN length(text) - pos <= {size} THEN substring(text, pos + 1) ELSE
-      substring(text, pos + 1, CASE WHEN strpos(reverse(substring(text, pos + 1, {size})), chr(10)) > 0 AND {size} - strpos(reverse(substring(text, pos + 1, {size})), chr(10)) > {size} // 2
-        THEN {size} - strpos(reverse(substring(text, pos + 1, {size})), chr(10)) + 1 ELSE {size} END) END AS p
+      substring(text, pos + 1, CASE WHEN length(regexp_extract(substring(text, pos + 1, {size}), '(?s)^(.*\n)', 1)) - 1 > {size} // 2
+        THEN length(regexp_extract(substring(text, pos + 1, {size}), '(?s)^(.*\n)', 1)) ELSE {size} END) END AS p
     FROM s WHERE pos < length(text)))
 """
 
