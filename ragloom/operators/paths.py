@@ -19,7 +19,7 @@ DOC_EXTENSIONS = [".pdf", ".docx", ".md", ".markdown", ".txt"]
 def _matches(name: Column, patterns: list[str], globs: list[str]) -> Column:
     hit = name.isin(patterns) if patterns else F.lit(False)
     for p in globs:
-        hit = hit | name.rlike(fnmatch.translate(p))
+        hit = hit | name.rlike(fnmatch.translate(p).removesuffix(r"\Z").removesuffix(r"\z") + r"\z")  # \Z lets a final line end pass in Java
     return F.coalesce(hit, F.lit(False))
 
 
