@@ -120,7 +120,7 @@ def kind(text: str) -> str | None:
     longest = max(map(len, lines))
     if longest > 500:
         long_chars = sum(n for x in lines if len(x) > 300 and (n := len(_STRING.sub("", x))) > 300)  # a long literal is none
-        if long_chars > 0.5 * size and len(_WORDY.findall(code)) * 40 > size:
+        if long_chars > 0.5 * size and len(dense) > 0.88 * size and len(_WORDY.findall(code)) * 40 > size:
             return "minified"
     if numbered(code) >= 0.6:
         return "generated"
