@@ -137,13 +137,17 @@ def diversify(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     largest cosine to the taken ones, the first on ties; a null embedding has cosine 0. Candidates of
     a question are a capped list; a fold over its array picks them, without Python.
     """
-    entry = F.struct("pos", "id", "score", "embedding")
-    lists = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(entry)).alias("c"))
-    cosine = "(CASE WHEN a.embedding IS NULL OR t.embedding IS NULL THEN 0D ELSE round(aggregate(zip_with(a.embedding, t.embedding, (x, y) -> CAST(x AS DOUBLE) * y), 0D, (s, v) -> s + v) / sqrt(aggregate(a.embedding, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v) * aggregate(t.embedding, 0D, (s, v) -> s + CAST(v AS DOUBLE) * v)), 9) END)"
-    rest = "filter(c, a -> NOT exists(acc, t -> t.id = a.id))"
-    rated = f"transform({rest}, a -> struct(round({weight} * a.score - {1 - weight} * array_max(transform(acc, t -> {cosine})), 9) AS v, -a.pos AS o, a AS a))"
-    pick = f"aggregate(sequence(2, greatest(2, {k})), slice(c, 1, 1), (acc, i) -> CASE WHEN size(acc) >= least({k}, size(c)) THEN acc ELSE concat(acc, filter(c, a -> a.pos = -array_max(transform({rated}, z -> struct(z.v AS v, z.o AS o))).o)) END)"
-    return lists.select("qid", F.posexplode(F.expr(pick)).alias("place", "x")).select("qid", F.col("x.id").alias("id"), (F.col("place") + 1).alias("place"))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x))
+    unit = F.when(length > 0, F.transform("embedding", lambda x: x / length))
+    lists = candidates.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "score", unit.alias("e")))).alias("c"))
+    near = "coalesce(round(aggregate(zip_with(x.e, get(c, {i}).e, (p, q) -> p * q), 0D, (s, v) -> s + v), 9), 0D)"
+    # the state is the places taken and each candidate's largest cosine to them
+    start = f"named_struct('o', array(0), 'm', transform(c, x -> {near.format(i=0)}))"
+    rated = f"transform(c, (x, i) -> CASE WHEN array_contains(acc.o, i) THEN NULL ELSE struct(round({weight}D * x.score - {1 - weight}D * get(acc.m, i), 9) AS v, -i AS i) END)"
+    best = f"-array_max(filter({rated}, z -> z IS NOT NULL)).i"
+    taken = f"transform(array({best}), j -> named_struct('o', concat(acc.o, array(j)), 'm', zip_with(c, acc.m, (x, y) -> greatest(y, {near.format(i='j')}))))[0]"
+    order = f"aggregate(sequence(2, greatest(2, {k})), {start}, (acc, n) -> CASE WHEN size(acc.o) >= least({k}, size(c)) THEN acc ELSE {taken} END, acc -> acc.o)"
+    return lists.select("qid", "c", F.posexplode(F.expr(order)).alias("place", "i")).select("qid", F.expr("get(c, i).id").alias("id"), (F.col("place") + 1).alias("place"))
 
 
 def parse_reply(reply: str | None) -> list[tuple[str, float]] | None:
