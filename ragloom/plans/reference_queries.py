@@ -205,7 +205,7 @@ WITH ws AS (SELECT {_WS} AS ws), b AS (
   SELECT path, unnest(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))) AS raw, unnest(range(len(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))))) AS block_index FROM {_DOCS} WHERE text IS NOT NULL)
 SELECT path AS file_path, block_index::INT AS block_index, md5(trim(raw, ws)) AS block_hash FROM b, ws WHERE length(trim(raw, ws)) BETWEEN 1 AND 2000""")
 def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heading blocks of up to 2000 characters, which are not split further."""
+    """Heading blocks of up to 2000 characters only, as its SQL has them; chunk_markdown_pieces gives all blocks."""
     rows = chunkers.chunk_headings(_docs(spark, sf_dir))
     whole = rows.groupBy("file_path", "block_index").agg(F.count("*").alias("n"), F.max("text").alias("text")).where("n = 1")
     return whole.select("file_path", "block_index", F.md5(F.col("text").cast("binary")).alias("block_hash"))
@@ -239,6 +239,19 @@ def split_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.posexplode(chunkers.split_at_newlines(F.col("text"), 1000)).alias("piece", "t")).select("doc_id", "piece", F.md5(F.col("t").cast("binary")).alias("piece_hash"))
 
 
+_BLOCKS = f"""(WITH b AS (
+  SELECT path, unnest(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))) AS raw, unnest(range(len(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))))) AS block_index FROM {_DOCS} WHERE text IS NOT NULL)
+  SELECT path, block_index, trim(raw, {_WS}) AS text FROM b)"""
+
+
+@_query(_SPLIT_SQL.format(key="{'path': path, 'block': block_index}", table=_BLOCKS, size=2000) + f"""
+SELECT k.path AS file_path, k.block::INT AS block_index, (n - 1)::INT AS piece_index, md5(piece) AS piece_hash FROM s WHERE n > 0
+UNION ALL SELECT path, block_index::INT, 0, md5(text) FROM {_BLOCKS} WHERE length(text) BETWEEN 1 AND 2000""")
+def chunk_markdown_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pieces of all heading blocks; blocks above 2000 characters are split at newlines."""
+    return chunkers.chunk_headings(_docs(spark, sf_dir)).select("file_path", "block_index", "piece_index", F.md5(F.col("text").cast("binary")).alias("piece_hash"))
+
+
 @_query(_SPLIT_SQL.format(key="seq", table="doc_chunk", size=2000) + """, x AS (SELECT k, n - 1 AS piece, piece AS t FROM s WHERE n > 0)
 SELECT d.seq, CASE WHEN length(d.text) > 4000 THEN d.id || '#split' || x.piece || '_' || left(md5(x.t), 8) ELSE d.id END AS id, length(d.text) > 4000 AS was_split, CASE WHEN length(d.text) > 4000 THEN x.piece ELSE 0 END::INT AS piece
 FROM doc_chunk d LEFT JOIN x ON d.seq = x.k AND length(d.text) > 4000 WHERE d.text IS NOT NULL""")

@@ -1,10 +1,14 @@
+import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from ragloom.functions import text as T
 from ragloom.operators import chunkers as C
 from ragloom.operators import code_chunks as K
+from ragloom.plans import reference_queries
 
 
 def rows(spark, texts):
@@ -60,6 +64,20 @@ def test_split_against_a_loop(spark):
     assert all(r.p == _split(r.text, 13) for r in got)
 
 
+def test_all_pieces_of_long_blocks_come_out(spark, tmp_path):
+    rng = random.Random(5)
+    prose = lambda n: "".join(rng.choice("abc \n😀") for _ in range(n))
+    texts = ["# a\n" + prose(7000) + "\n## b\n" + prose(300), prose(2500), "x" * 4001, "#\n#\n" + prose(2000), " \n", "", None]
+    spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in reference_queries.QUERIES["chunk_markdown_pieces"](spark, str(tmp_path)).collect()]
+    want = []
+    for k, text in enumerate(texts):
+        for i, raw in enumerate(re.split("(?m)^(?=#)", text or "")):
+            block = raw.strip(T.WHITESPACE)
+            want += [(f"/s/{k}.txt", i, j, hashlib.md5(p.encode()).hexdigest()) for j, p in enumerate(_split(block, 2000)) if block]
+    assert sorted(got) == sorted(want) and max(r[2] for r in want) >= 3
+
+
 def test_oversize_goes_last(spark):
     df = spark.createDataFrame([(0, "i0", "x" * 25), (1, "i1", "short"), (2, None, None)], "seq long, id string, text string")
     got = C.split_oversize(df, 20).orderBy("was_split", "seq", "piece").collect()
