@@ -2,7 +2,8 @@
 
 Two texts are the same unit if they share SAME (4/5) of the words of the longer one in order; case,
 blanks and punctuation don't count. Each accepted text is sketched once: the smallest hashes of its
-five-word shingles in BINS bins are its blocking keys. The store keeps, in tables bucketed by their
+five-word shingles in BINS bins, and its PAIRS smallest two-word shingles, are its blocking keys. The
+store keeps, in tables bucketed by their
 join key, the texts' exact hashes, the blocking keys of representatives, the representatives' texts,
 and a mapping of merged roots. A batch reads only its own texts; it probes the tables (the stored
 side is not shuffled), scores the candidate pairs by fields with learned weights, verifies them by
@@ -15,7 +16,8 @@ of near-copies has one entry under a key. A new text that shares between LOOSE (
 first text might still repeat one of those copies: it is compared with the copies of that unit too.
 
 Hot keys: a key that more than HOT history texts hold (a shared opening) is replaced, in all
-sketches, by the hash of the two, then three, smallest shingles of its bin. Nothing is dropped; the
+sketches, by the hash of the two, then three, smallest shingles of its bin (of the next one and two
+two-word shingles). Nothing is dropped; the
 table of hot keys is learned from the whole first batch.
 
 Weights: log-odds of agreement levels (shared keys, lengths, path, collection) learned from at most
@@ -24,12 +26,16 @@ unverified only if it shares a single key, and its score is below that of every
 MARGIN; pairs whose lengths or word sets alone exclude 4/5 are no candidates (an exact bound, taken
 where the keys meet, so that such pairs are never shuffled).
 
-Recall: a text with scattered edits keeps few shingles; with the share j of common shingles the
-chance to share no key is (1 - j) ** BINS. Tests compare with brute force.
+Recall: with the share j of common shingles the chance to share no key is (1 - j) ** BINS for the
+five-word ones, and (1 - j) ** PAIRS for the two-word ones, which hold for scattered edits: with
+every fifth word replaced no five-word shingle is left, but j = 3/7 of the two-word ones. Deeper
+keys ask for agreement of two or three neighbours (about j ** 2, j ** 3), so that a text of common
+word pairs alone is missed more. Texts of up to PAIRS + 1 words have all their word pairs as keys.
+Tests compare with brute force.
 
 Defined cases: rows with a null seq, batch or text are not units and get no link; texts without
 words (empty, punctuation) are one unit only with texts that are equal without blanks and case;
-texts shorter than five words have one shingle, the whole text; repeated rows are repeats; other
+texts shorter than five words have one long shingle, the whole text; repeated rows are repeats; other
 columns are not read.
 """
 
@@ -52,7 +58,9 @@ from ragloom.operators.components import components
 from ragloom.runtime import cut, new_dir, shuffle_width
 
 SAME, CLOSE, LOOSE = 0.8, 0.9, 2 / 3
-SPAN, BINS, HOT = 5, 8, 48
+SPAN, BINS, HOT = 5, 12, 48
+#: Keys of two-word shingles: the smallest PAIRS of a text, all of a text of up to PAIRS + 1 words.
+PAIRS = 16
 FIT_PAIRS, MARGIN = 4000, 2.0
 #: Rows of the table of hot keys that are broadcast; a larger one is joined by a shuffle.
 BROADCAST = 100_000
@@ -89,8 +97,45 @@ class Sketch:
     def __init__(self):
         self.memo: dict[str, int] = {}
 
+    @staticmethod
+    def _shingles(h: np.ndarray, lengths: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+        """(text, hash) of the runs of span words; h has the words of all texts."""
+        n = max(0, len(h) - span + 1)
+        total, power = np.zeros(n, np.uint64), np.uint64(1)
+        with np.errstate(over="ignore"):
+            for j in range(span):
+                total += h[j : j + n] * power
+                power *= np.uint64(0x9E3779B97F4A7C15)
+            total ^= total >> np.uint64(29)
+            total *= np.uint64(0xBF58476D1CE4E5B9)
+            total ^= total >> np.uint64(32)
+        doc = np.repeat(np.arange(len(lengths)), lengths)[:n]
+        good = np.arange(n) + span <= np.cumsum(lengths)[doc]
+        return doc[good], total[good]
+
+    @staticmethod
+    def _sorted(group: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct (group, value) in order."""
+        order = np.lexsort((value, group))
+        group, value = group[order], value[order]
+        keep = np.ones(len(group), dtype=bool)
+        keep[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
+        return group[keep], value[keep]
+
+    @staticmethod
+    def _fill(keys: np.ndarray, at: np.ndarray, group: np.ndarray, value: np.ndarray, doc: np.ndarray, column: np.ndarray) -> None:
+        """Keys of each place in at: its shingle, mixed with the next one and two of its group at deeper levels."""
+        mixed = np.zeros(len(at), np.uint64)
+        with np.errstate(over="ignore"):
+            for level in range(3):
+                here = np.minimum(at + level, len(group) - 1)
+                more = group[here] == group[at]
+                mixed = np.where(more, (mixed ^ value[here]) * np.uint64(0x94D049BB133111EB) + np.uint64(level), mixed)
+                key = mixed ^ (mixed >> np.uint64(31))
+                keys[level][doc, column] = np.where(key == 0, np.uint64(1), key).view(np.int64)
+
     def __call__(self, texts: list[list[str]], raw: list[str]):
-        """(h1, h2, keys of level 1 to 3 as arrays of shape (texts, BINS), words, word sets); 0 is no key."""
+        """(h1, h2, keys of level 1 to 3 as arrays of shape (texts, BINS + PAIRS), words, word sets); 0 is no key."""
         memo = self.memo
         flat = [w for t in texts for w in t]
         if len(memo) > MEMO:
@@ -101,40 +146,18 @@ class Sketch:
         joined = [" ".join(t) if t else "\x00" + "".join(r.split()).lower() for t, r in zip(texts, raw)]
         h1 = np.fromiter((xxhash.xxh64_intdigest(t) for t in joined), dtype=np.uint64, count=len(texts)).view(np.int64)
         h2 = np.fromiter((xxhash.xxh64_intdigest(t, 7) for t in joined), dtype=np.uint64, count=len(texts)).view(np.int64)
-        keys = np.zeros((3, len(texts), BINS), dtype=np.int64)
+        keys = np.zeros((3, len(texts), BINS + PAIRS), dtype=np.int64)
         h = np.fromiter(map(memo.__getitem__, flat), dtype=np.uint64, count=len(flat))
-        n = len(h) - SPAN + 1
-        if n > 0:
-            total, power = np.zeros(n, np.uint64), np.uint64(1)
-            with np.errstate(over="ignore"):
-                for j in range(SPAN):
-                    total += h[j : j + n] * power
-                    power *= np.uint64(0x9E3779B97F4A7C15)
-                total ^= total >> np.uint64(29)
-                total *= np.uint64(0xBF58476D1CE4E5B9)
-                total ^= total >> np.uint64(32)
-            ends = np.cumsum(lengths)
-            doc = np.repeat(np.arange(len(texts)), lengths)[:n]
-            good = np.arange(n) + SPAN <= ends[doc]
-            value, doc = total[good], doc[good]
-            slot = (value % np.uint64(BINS)).astype(np.int64)
-            group = doc * BINS + slot
-            order = np.lexsort((value, group))
-            group, value = group[order], value[order]
-            keep = np.ones(len(group), dtype=bool)
-            keep[1:] = (group[1:] != group[:-1]) | (value[1:] != value[:-1])
-            group, value = group[keep], value[keep]
-            first = np.ones(len(group), dtype=bool)
-            first[1:] = group[1:] != group[:-1]
-            at = np.flatnonzero(first)
-            mixed = np.zeros(len(at), np.uint64)
-            with np.errstate(over="ignore"):
-                for level in range(3):
-                    here = np.minimum(at + level, len(group) - 1)
-                    more = group[here] == group[at]
-                    mixed = np.where(more, (mixed ^ value[here]) * np.uint64(0x94D049BB133111EB) + np.uint64(level), mixed)
-                    key = mixed ^ (mixed >> np.uint64(31))
-                    keys[level].reshape(-1)[group[at]] = np.where(key == 0, np.uint64(1), key).view(np.int64)
+        doc, value = self._shingles(h, lengths, SPAN)
+        slot = (value % np.uint64(BINS)).astype(np.int64)
+        group, value = self._sorted(doc * BINS + slot, value)
+        at = np.flatnonzero(np.diff(group, prepend=-1))
+        self._fill(keys, at, group, value, group[at] // BINS, group[at] % BINS)
+        doc, value = self._sorted(*self._shingles(h, lengths, 2))
+        start = np.flatnonzero(np.diff(doc, prepend=-1))
+        rank = np.arange(len(doc)) - np.repeat(start, np.diff(np.append(start, len(doc))))
+        at = np.flatnonzero(rank < PAIRS)
+        self._fill(keys, at, doc, value, doc[at], BINS + rank[at])
         short = np.flatnonzero((lengths > 0) & (lengths < SPAN))
         for level in range(3):
             keys[level][short, 0] = h1[short]

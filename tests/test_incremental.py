@@ -83,6 +83,18 @@ def test_against_brute_force(spark):
     assert got == want
 
 
+def test_scattered_edits(spark):
+    rng = random.Random(3)
+    rows = []
+    for k, n in enumerate([100] * 30 + [5, 6, 7, 8, 9] * 4):
+        words = [f"s{k}x{rng.randrange(10**6)}" for _ in range(n)]
+        changed = range(4, n, 5) if n == 100 else [n // 2]  # every fifth word, or the middle one
+        edited = [f"e{rng.randrange(10**6)}" if j in changed else w for j, w in enumerate(words)]
+        rows += [(k, 0, " ".join(words), None, "A", 1, "x"), (1000 + k, 1, " ".join(edited), None, "A", 1, "x")]
+    got = {(r.seq_a, r.seq_b) for r in op.link_batches(spark.createDataFrame(rows, S)).collect()}
+    assert got == {(k, 1000 + k) for k in range(50)}
+
+
 def test_empty(spark):
     assert op.link_batches(spark.createDataFrame([], S)).collect() == []
 
