@@ -23,8 +23,9 @@ table of hot keys is learned from the whole first batch.
 Weights: log-odds of agreement levels (shared keys, lengths, path, collection) learned from at most
 FIT_PAIRS candidate pairs of the first batch labelled by the exact measure. A pair is left
 unverified only if it shares a single key, and its score is below that of every labelled repeat by
-MARGIN; pairs whose lengths or word sets alone exclude 4/5 are no candidates (an exact bound, taken
-where the keys meet, so that such pairs are never shuffled).
+MARGIN; pairs whose lengths or word sets alone exclude 4/5 (2/3 of a stored first text that has
+copies) are no candidates (an exact bound, taken where the keys meet, so that such pairs are never
+shuffled).
 
 Recall: with the share j of common shingles the chance to share no key is (1 - j) ** BINS for the
 five-word ones, and (1 - j) ** PAIRS for the two-word ones, which hold for scattered edits: with
@@ -254,21 +255,21 @@ class Linker:
         return F.broadcast(df) if df.count() <= BROADCAST else df
 
     @staticmethod
-    def _possible() -> Column:
-        """Whether two texts can share SAME of the longer one, by lengths and word sets alone.
+    def _possible(share: float) -> Column:
+        """Whether two texts can have that share of the longer one in common, by lengths and word sets alone.
 
         Words of one text whose bit the other lacks are not shared, so their number bounds what is lost.
         """
         ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-        need = F.ceil(F.greatest("n_a", "n_b") * F.lit(SAME) - 1e-9)
+        need = F.ceil(F.greatest("n_a", "n_b") * F.lit(share) - 1e-9)
         lost = lambda x, y: sum((F.bit_count(F.col(f"{x}.{k}").bitwiseAND(F.bitwise_not(F.col(f"{y}.{k}")))) for k in SETS), F.lit(0))
-        return (ratio >= SAME) & (lost("s_a", "s_b") <= F.col("n_a") - need) & (lost("s_b", "s_a") <= F.col("n_b") - need)
+        return (ratio >= share) & (lost("s_a", "s_b") <= F.col("n_a") - need) & (lost("s_b", "s_a") <= F.col("n_b") - need)
 
     @classmethod
-    def _pairs(cls, keyed: DataFrame) -> DataFrame:
-        """(a, b, shared, ratio, root) of candidate pairs that can be repeats."""
+    def _pairs(cls, keyed: DataFrame, share: float = SAME) -> DataFrame:
+        """(a, b, shared, ratio, root, strict) of candidate pairs that can have that share in common; strict if they can be repeats."""
         ratio = F.least("n_a", "n_b") / F.greatest("n_a", "n_b")
-        return keyed.where(cls._possible()).groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"), F.max(ratio).alias("ratio"), F.min("root").alias("root"))
+        return keyed.where(cls._possible(share)).groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"), F.max(ratio).alias("ratio"), F.min("root").alias("root"), F.max(cls._possible(SAME)).alias("strict"))
 
     def _score(self, pairs: DataFrame) -> DataFrame:
         """The fields' agreement levels; single-key pairs of a hopeless score are left out."""
@@ -361,17 +362,26 @@ class Linker:
         stored = self._stored("keys")
         if stored is not None:
             outer = new.hint("shuffle_hash").join(stored, "key")
-            found = found.unionByName(self._pairs(outer).withColumn("in_batch", F.lit(False)))
+            copies = self._stored("copies")
+            if copies is None:
+                old = self._pairs(outer)
+            else:  # pairs that are no repeats may still lead to a copy of the unit
+                near = cut(self._pairs(outer, LOOSE))
+                old = near.where("strict").unionByName(near.where("NOT strict").join(copies.select(F.col("first").alias("a")), "a", "left_semi").select(near.columns))
+            found = found.unionByName(old.withColumn("in_batch", F.lit(False)))
         verified = cut(self._verify(found, rows))
         if self.weights is None:
             self._learn(verified)
         columns = ["b", "a", "root", "in_batch", "sim"]
         linked = verified.where(F.col("sim") >= SAME).select(*columns)
-        # texts that no first text explains are compared with each other under their keys
+        # texts that no first text explains are compared with all texts of the batch under their keys
+        done = linked.select(F.col("b").alias("a")).distinct().withColumn("linked", F.lit(True))
         lone = common.select("key", "b", "n_b", "s_b").join(linked.select("b"), "b", "left_anti")
-        others = lone.select("key", F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a"), F.col("b").alias("a"))
+        others = common.select("key", F.col("b").alias("a"), F.col("n_b").alias("n_a"), F.col("s_b").alias("s_a")).join(done, "a", "left")
+        met = self._pairs(lone.join(others, "key").where(F.col("linked").isNotNull() | (F.col("a") < F.col("b"))).withColumn("root", none))
+        met = met.withColumns({"a": F.least("a", "b"), "b": F.greatest("a", "b")})
         tried = verified.where("in_batch").select("a", "b")
-        rest = self._pairs(lone.join(others, "key").where("a < b").withColumn("root", none)).join(tried, ["a", "b"], "left_anti").withColumn("in_batch", F.lit(True))
+        rest = met.join(tried, ["a", "b"], "left_anti").withColumn("in_batch", F.lit(True))
         linked = linked.unionByName(self._verify(rest, rows).where(F.col("sim") >= SAME).select(*columns))
         loose = self._copies_of(verified, rows)
         linked = cut(linked if loose is None else linked.unionByName(loose))

@@ -95,6 +95,25 @@ def test_scattered_edits(spark):
     assert got == {(k, 1000 + k) for k in range(50)}
 
 
+def test_repeat_of_a_copy_alone(spark):
+    base = [f"b{k}" for k in range(100)]
+    copy = ["c"] * 1 + base[1:95] + [f"c{k}" for k in range(5)]  # 94 of 100 words
+    far = copy[:60] + [f"f{k}" for k in range(18)] + copy[78:]  # 82 of the copy, 77 of the first text
+    long = copy + [f"l{k}" for k in range(24)]  # 100 of 124 of the copy, 94 of 124 of the first text
+    rows = [(k, b, " ".join(w), None, "A", 1, "x") for k, (b, w) in enumerate([(0, base), (1, copy), (2, far), (3, long)])]
+    links = lambda rows: {(r.seq_a, r.seq_b) for r in op.link_batches(spark.createDataFrame(rows, S)).collect()}
+    assert links(rows) == {(0, 1), (0, 2), (0, 3)}
+
+
+def test_lone_texts_meet_linked_ones(spark):
+    head = [f"d{k}" for k in range(120)]  # with these words, all keys the other two share are keys of the head
+    near = head[:110]
+    lone = head[:89] + [f"x{k}" for k in range(21)]  # 89 of 110 of the near one, 89 of 120 of the head
+    rows = [(k, 1, " ".join(w), None, "A", 1, "x") for k, w in enumerate([head, near, lone])]
+    got = {(r.seq_a, r.seq_b) for r in op.link_batches(spark.createDataFrame(rows, S)).collect()}
+    assert got == {(0, 1), (0, 2)}
+
+
 def test_empty(spark):
     assert op.link_batches(spark.createDataFrame([], S)).collect() == []
 
