@@ -21,11 +21,10 @@ two-word shingles). Nothing is dropped; the
 table of hot keys is learned from the whole first batch.
 
 Weights: log-odds of agreement levels (shared keys, lengths, path, collection) learned from at most
-FIT_PAIRS candidate pairs of the first batch labelled by the exact measure. A pair is left
-unverified only if it shares a single key, and its score is below that of every labelled repeat by
-MARGIN; pairs whose lengths or word sets alone exclude 4/5 (2/3 of a stored first text that has
-copies) are no candidates (an exact bound, taken where the keys meet, so that such pairs are never
-shuffled).
+FIT_PAIRS candidate pairs of the first batch labelled by the exact measure. They only label pairs
+with a score; every candidate pair is verified. Pairs whose lengths or word sets alone exclude 4/5
+(2/3 of a stored first text that has copies) are no candidates (an exact bound, taken where the keys
+meet, so that such pairs are never shuffled).
 
 Recall: with the share j of common shingles the chance to share no key is (1 - j) ** BINS for the
 five-word ones, and (1 - j) ** PAIRS for the two-word ones, which hold for scattered edits: with
@@ -62,7 +61,7 @@ SAME, CLOSE, LOOSE = 0.8, 0.9, 2 / 3
 SPAN, BINS, HOT = 5, 12, 48
 #: Keys of two-word shingles: the smallest PAIRS of a text, all of a text of up to PAIRS + 1 words.
 PAIRS = 16
-FIT_PAIRS, MARGIN = 4000, 2.0
+FIT_PAIRS = 4000
 #: Rows of the table of hot keys that are broadcast; a larger one is joined by a shuffle.
 BROADCAST = 100_000
 #: Texts of a bucket of the store, if the session's number of shuffle partitions allows as many buckets.
@@ -272,7 +271,7 @@ class Linker:
         return keyed.where(cls._possible(share)).groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"), F.max(ratio).alias("ratio"), F.min("root").alias("root"), F.max(cls._possible(SAME)).alias("strict"))
 
     def _score(self, pairs: DataFrame) -> DataFrame:
-        """The fields' agreement levels; single-key pairs of a hopeless score are left out."""
+        """The fields' agreement levels and their score, a label: all pairs are verified."""
         rows = pairs.select(
             "a", "b", "root", "in_batch", "shared", "norm_a", "norm_b",
             F.when(F.col("shared") >= 8, 3).when(F.col("shared") >= 4, 2).when(F.col("shared") >= 2, 1).otherwise(0).alias("f_shared"),
@@ -288,7 +287,7 @@ class Linker:
             for level, weight in levels.items():
                 w = F.when(F.col(field) == level, F.lit(float(weight))).otherwise(w)
             total = total + w
-        return rows.withColumn("score", total).where((F.col("shared") > 1) | (F.col("score") >= self.weights["floor"]))
+        return rows.withColumn("score", total)
 
     def _learn(self, verified: DataFrame) -> None:
         """Weights of agreement levels from a bounded sample of labelled pairs."""
@@ -296,7 +295,7 @@ class Linker:
         y = rows["y"].astype(bool)
         if not len(rows) or not y.any() or y.all():
             return
-        fields, score = {}, np.zeros(len(rows))
+        fields = {}
         for field, levels in (("f_shared", 4), ("f_ratio", 3), ("f_path", 2), ("f_coll", 2)):
             fields[field] = {}
             for level in range(levels):
@@ -304,8 +303,7 @@ class Linker:
                 m = (float((at & y).sum()) + 0.5) / (float(y.sum()) + 0.5 * levels)
                 u = (float((at & ~y).sum()) + 0.5) / (float((~y).sum()) + 0.5 * levels)
                 fields[field][level] = float(np.log(m / u))
-                score += at * fields[field][level]
-        self.weights = {"fields": fields, "floor": float(score[y].min()) - MARGIN}
+        self.weights = {"fields": fields}
 
     def _side(self, texts: DataFrame, side: str) -> DataFrame:
         return texts.select(F.col("seq").alias(side), F.col("norm").alias(f"norm_{side}"), F.col("path").alias(f"path_{side}"), F.col("coll").alias(f"coll_{side}"))

@@ -114,6 +114,13 @@ def test_lone_texts_meet_linked_ones(spark):
     assert got == {(0, 1), (0, 2)}
 
 
+def test_score_drops_no_pair(spark):
+    linker = op.Linker(spark)
+    linker.weights = {"fields": {"f_shared": {0: -9.0, 1: 0.0, 2: 1.0, 3: 2.0}}, "floor": 0.0}
+    pairs = spark.createDataFrame([(1, 2, None, True, 1, "x", "x", 0.9, 1, 2, 1, 2), (1, 3, None, False, 5, "x", "x", 0.9, 1, 2, 1, 2)], "a long, b long, root long, in_batch boolean, shared int, norm_a string, norm_b string, ratio double, path_a int, path_b int, coll_a int, coll_b int")
+    assert {r.b: r.score for r in linker._score(pairs).collect()} == {2: -9.0, 3: 1.0}
+
+
 def test_empty(spark):
     assert op.link_batches(spark.createDataFrame([], S)).collect() == []
 
