@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ragloom.llm import documented, leakage, provenance, scans, spam, syntax, tokenize
+from ragloom.llm import documented, leakage, linkage_queries, piece_queries, provenance, ranking_queries, scans, spam, syntax, tokenize
 from ragloom.runtime import table
 
 
@@ -77,7 +77,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)}
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)} | ranking_queries.QUERIES | linkage_queries.QUERIES | piece_queries.QUERIES
 
 
 def oracle_sql() -> dict:
@@ -87,4 +87,4 @@ def oracle_sql() -> dict:
         + ") a JOIN ("
         + _WINDOWS.format(key="doc_id", table="documents")
         + ") b USING (s)",
-    }
+    } | ranking_queries.SQL | linkage_queries.SQL | piece_queries.SQL
