@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ragloom.plans import linkage_queries, piece_queries, ranking_queries, reference_queries
+from ragloom.plans import reference_queries
 
-_MODULES = (reference_queries, ranking_queries, piece_queries, linkage_queries)
+_MODULES = (reference_queries,)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
