@@ -27,8 +27,14 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Number of errors, first line and first cause of every stored file."""
-    return syntax.verdicts(table(spark, sf_dir, "code_file")).drop("errors")
+    """Number of errors, first line, first cause and all errors of every stored file."""
+    return syntax.verdicts(table(spark, sf_dir, "code_file")).withColumn("errors", F.to_json("errors"))
+
+
+def p4_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All errors, a row for each."""
+    rows = syntax.verdicts(table(spark, sf_dir, "code_file")).select("file_path", "repo", "language", F.explode("errors").alias("e"))
+    return rows.select("file_path", "repo", "language", "e.line", "e.cause")
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +83,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)} | ranking_queries.QUERIES | linkage_queries.QUERIES | piece_queries.QUERIES
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_errors, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)} | ranking_queries.QUERIES | linkage_queries.QUERIES | piece_queries.QUERIES
 
 
 def oracle_sql() -> dict:

@@ -15,6 +15,7 @@ of its texts is invalid; a null path is dropped; a null repo is a repo of its ow
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,8 @@ from ragloom.functions import clex
 
 #: Statement shapes a worker remembers; on reaching it the memory starts anew.
 MEMO = 200_000
-#: Errors kept of a file; all are counted.
-KEEP = 20
-DEEP = 200
+#: Python's limit of nested calls while a text is parsed; its frames lie on the heap, so that depth is bounded by memory.
+NESTED_CALLS = 100_000_000
 
 _TYPES = frozenset("char double float int long short signed unsigned void bool wchar_t char8_t char16_t char32_t _Bool _Complex auto".split())
 _MODIFIERS = frozenset(
@@ -60,7 +60,6 @@ class Parser:
         self.cpp = language == "cpp"
         self.memo = memo
         self.errors: list[tuple[int, str]] = []
-        self.depth = 0
         stops = [k for k, x in enumerate(t) if x == ";" or x == "{" or x == "}"]
         self.next = nxt = [self.n] * (self.n + 2)
         a = 0
@@ -120,51 +119,46 @@ class Parser:
             level = _BINARY.get(op)
             if level is None or level <= least:
                 return p
-            p = self.binary(p + width, level, angle)
+            p = p + 2 if self.cpp and t[p + 1] == "..." else self.binary(p + width, level, angle)  # a fold
 
     def unary(self, p: int) -> int:
         t = self.t
-        self.depth += 1
-        if self.depth > DEEP:
-            self.depth = 0
-            raise Wrong(p, "nested too deeply")
-        try:
-            x = t[p]
-            if x in _UNARY:
-                return self.unary(p + 1)
-            if x == "sizeof" or x in ("alignof", "_Alignof"):
-                if t[p + 1] == "...":
-                    p += 1
-                if t[p + 1] == "(":
-                    q = self.trial(self.type_name, p + 2)
-                    if q is not None and t[q] == ")":
-                        return self.postfix(q + 1)
-                return self.unary(p + 1)
-            if x == "(":
-                q = self.trial(self.type_name, p + 1)
+        x = t[p]
+        if x in _UNARY:
+            return self.unary(p + 1)
+        if x == "sizeof" or x in ("alignof", "_Alignof"):
+            if t[p + 1] == "...":
+                p += 1
+            if t[p + 1] == "(":
+                q = self.trial(self.type_name, p + 2)
                 if q is not None and t[q] == ")":
-                    after = t[q + 1]
-                    if after == "{":
-                        return self.postfix(self.braces(q + 1))
-                    if after in ("i", "0", "s", "c", "(", "!", "~", "sizeof", "this", "nullptr", "true", "false", "new", "::") or after in _CASTS or (after in _UNARY and t[q - 1] != "i"):
-                        r = self.trial(self.unary, q + 1)
-                        if r is not None:
-                            return r
-            if self.cpp:
-                if x == "new" or x == "::" and t[p + 1] == "new":
-                    return self.new(p + (x == "::"))
-                if x == "delete":
-                    p += 1
-                    if t[p] == "[":
-                        p = self.need(p + 1, "]")
-                    return self.unary(p)
-                if x in ("co_await", "co_yield"):
-                    return self.unary(p + 1)
-                if x == "noexcept":
-                    return self.need(self.expression(self.need(p + 1, "(")), ")")
-            return self.postfix(self.primary(p))
-        finally:
-            self.depth = max(0, self.depth - 1)
+                    return self.postfix(q + 1)
+            return self.unary(p + 1)
+        if x == "(":
+            q = self.trial(self.type_name, p + 1)
+            if q is not None and t[q] == ")":
+                after = t[q + 1]
+                if after == "{":
+                    return self.postfix(self.braces(q + 1))
+                if after in ("i", "0", "s", "c", "(", "!", "~", "sizeof", "this", "nullptr", "true", "false", "new", "::") or after in _CASTS or (after in _UNARY and t[q - 1] != "i"):
+                    r = self.trial(self.unary, q + 1)
+                    if r is not None:
+                        return r
+        if self.cpp:
+            if x == "new" or x == "::" and t[p + 1] == "new":
+                return self.new(p + (x == "::"))
+            if x == "delete":
+                p += 1
+                if t[p] == "[":
+                    p = self.need(p + 1, "]")
+                return self.unary(p)
+            if x in ("co_await", "co_yield"):
+                return self.unary(p + 1)
+            if x == "noexcept":
+                return self.need(self.expression(self.need(p + 1, "(")), ")")
+            if x == "requires":
+                return self.postfix(self.requires_expression(p))
+        return self.postfix(self.primary(p))
 
     def new(self, p: int) -> int:
         t = self.t
@@ -196,6 +190,8 @@ class Parser:
         if x == "(":
             if t[p + 1] == "{":
                 return self.need(self.block(p + 1), ")")
+            if self.cpp and t[p + 1] == "..." and t[p + 2] in _BINARY:
+                return self.need(self.unary(p + 3), ")")
             return self.need(self.expression(p + 1), ")")
         if x == "_Generic":
             p = self.assignment(self.need(p + 1, "("))
@@ -353,6 +349,8 @@ class Parser:
             p += 1
         if t[p] == "->":
             p = self.type_name(p + 1)
+        if t[p] == "requires":
+            p = self.constraint(p + 1)
         return self.block(p)
 
     def operator(self, p: int) -> int:
@@ -519,7 +517,45 @@ class Parser:
                 p = p + 3 if t[p + 2] == ")" else self.need(self.expression(p + 2), ")")
             else:
                 p += 1
-        return self.type_name(p + 1) if t[p] == "->" else p
+        if t[p] == "->":
+            p = self.type_name(p + 1)
+        return self.constraint(p + 1) if t[p] == "requires" else p
+
+    def constraint(self, p: int) -> int:
+        """What follows a requires clause's keyword: primaries joined by && and ||."""
+        t = self.t
+        while True:
+            if t[p] == "(":
+                p = self.need(self.expression(p + 1), ")")
+            elif t[p] == "requires":
+                p = self.requires_expression(p)
+            else:
+                p = p + 1 if t[p] in ("true", "false") else self.name(p, is_type=True)
+            if t[p] not in ("&&", "||"):
+                return p
+            p += 1
+
+    def requires_expression(self, p: int) -> int:
+        t = self.t
+        p += 1
+        if t[p] == "(":
+            p = self.parameters(p)
+        p = self.need(p, "{")
+        while t[p] != "}":
+            if t[p] == "{":
+                p = self.need(self.expression(p + 1), "}")
+                if t[p] == "noexcept":
+                    p += 1
+                if t[p] == "->":
+                    p = self.name(p + 1, is_type=True)
+            elif t[p] == "typename":
+                p = self.name(p + 1, is_type=True)
+            elif t[p] == "requires" and t[p + 1] != "{" and self.trial(self.requires_expression, p) is None:
+                p = self.expression(p + 1)
+            else:
+                p = self.expression(p)
+            p = self.need(p, ";")
+        return p + 1
 
     def parameters(self, p: int) -> int:
         t = self.t
@@ -654,11 +690,9 @@ class Parser:
 
     def safely(self, f, p: int, *args) -> int:
         """f(p); after an error the place after the statement it is in."""
-        deep = self.depth
         try:
             return f(p, *args)
         except Wrong as e:
-            self.depth = deep
             self.errors.append((e.at, e.why))
             return self.recover(p, e.at)
 
@@ -707,8 +741,10 @@ class Parser:
                 p += 1
                 if t[p] == "<":
                     p = self.template_parameters(p)
-                if t[p] in ("requires", "concept"):
-                    return self.recover(p, p)
+                if t[p] == "requires":
+                    p = self.constraint(p + 1)
+                if t[p] == "concept":
+                    return self.need(self.expression(self.need(self.attributes(self.need(p + 1, "i")), "=")), ";")
                 return self.item(p, where)
             if x == "extern" and t[p + 1] == "s":
                 return self.scope(p + 3, "file") if t[p + 2] == "{" else self.item(p + 2, where)
@@ -736,7 +772,7 @@ class Parser:
         if tokens and tokens[0] not in ("namespace", "template", "extern", "using", "public", "private", "protected", "struct" if stop == "{" and "(" not in tokens else "", "static_assert", "_Static_assert"):
             try:
                 ok = (sub.statement_fresh(0) if where == "block" else sub.declaration(0, where)) == sub.n and not sub.errors
-            except (Wrong, RecursionError):
+            except Wrong:
                 ok = False
         self.memo[key] = ok
         return ok
@@ -744,14 +780,9 @@ class Parser:
     def block(self, p: int) -> int:
         p = self.need(p, "{")
         t, nxt, memo = self.t, self.next, self.memo
-        self.depth += 1
-        if self.depth > DEEP:
-            self.depth = 0
-            raise Wrong(p, "nested too deeply")
         while True:
             x = t[p]
             if x == "}":
-                self.depth = max(0, self.depth - 1)
                 return p + 1
             if not x:
                 raise Wrong(p, "unclosed {")
@@ -849,7 +880,6 @@ class Parser:
             return p
         if x in ("using", "static_assert", "_Static_assert", "namespace", "template"):
             return self.item(p, "file")
-        deep = self.depth
         q, error = None, None
         try:
             q = self.need(self.expression(p), ";")
@@ -857,7 +887,6 @@ class Parser:
             error = e
         if q is not None:
             return q
-        self.depth = deep
         try:
             return self.declaration(p, "block")
         except Wrong as e:
@@ -902,15 +931,12 @@ class Parser:
 
     def file(self) -> list[tuple[int, str]]:
         p, t = 0, self.t
-        try:
-            while p < self.n:
-                if t[p] == "}":
-                    self.errors.append((p, "unmatched }"))
-                    p += 1
-                else:
-                    p = self.safely(self.item, p, "file")
-        except RecursionError:
-            self.errors.append((p, "nested too deeply"))
+        while p < self.n:
+            if t[p] == "}":
+                self.errors.append((p, "unmatched }"))
+                p += 1
+            else:
+                p = self.safely(self.item, p, "file")
         return self.errors
 
 
@@ -976,6 +1002,8 @@ _SHAPES: dict[str, dict] = {"c": {}, "cpp": {}}
 def check(text: str, language: str) -> list[tuple[int, str]]:
     """(line, cause) of all errors of a text, none if it is valid."""
     language = "c" if language == "c" else "cpp"
+    if sys.getrecursionlimit() < NESTED_CALLS:
+        sys.setrecursionlimit(NESTED_CALLS)
     joined = clex.splice(text.lstrip("﻿"))
     spelled = clex.spellings(joined, language)
     kinds = list(map(clex.CLASSES[language].__getitem__, spelled))
@@ -1019,7 +1047,7 @@ def verdicts(files: DataFrame) -> DataFrame:
                     pa.array([len(e) for e in all_errors], pa.int32()),
                     pa.array([e[0][0] if e else None for e in all_errors], pa.int32()),
                     pa.array([e[0][1] if e else None for e in all_errors], pa.string()),
-                    pa.array([[{"line": a, "cause": b} for a, b in e[:KEEP]] for e in all_errors], _ERRORS),
+                    pa.array([[{"line": a, "cause": b} for a, b in e] for e in all_errors], _ERRORS),
                 ],
                 names=["file_path", "repo", "language", "n_errors", "first_line", "first_cause", "errors"],
             )

@@ -107,6 +107,12 @@ VALID = [
     ("cpp", "namespace a::b { using T = int; int A::f(T&& x) noexcept { for (const auto& [k, v] : m) { x += v; } throw E(\"x\"); } }"),
     ("cpp", ""),
     ("cpp", "/* only */ // comments"),
+    ("c", "int f() { " + "{ " * 210 + "} " * 210 + "return 0; }"),
+    ("c", "int f() { return " + "(" * 2500 + "1" + ")" * 2500 + "; }"),
+    ("c", "int f(int a) { " + "if (a) { a = 1; } else " * 2500 + "{ a = 2; } return a; }"),
+    ("cpp", "template <class T> concept C = requires(T a, T b) { { a + b } noexcept -> std::same_as<T>; typename T::x; a.f(); requires sizeof(T) > 4; } && D<T>;"),
+    ("cpp", "template <class T> requires C<T> && (sizeof(T) > 1) T f(T a) requires D<T> { return a; }"),
+    ("cpp", "template <class... T> auto sum(T... a) { return (a + ...) + (... * a); }"),
 ]
 BROKEN = [
     ("c", "int f() { return 1;"),
@@ -123,6 +129,8 @@ BROKEN = [
     ("cpp", "class A { int f() { return 1; }"),
     ("cpp", "import os\ndef f(x):\n  return x\n"),
     ("cpp", "}"),
+    ("cpp", "template <class T> concept C = )) ;"),
+    ("cpp", "template <class T> requires void f(T a) { }"),
 ]
 
 
@@ -141,6 +149,12 @@ def test_recovery_finds_all_errors():
     assert [line for line, _ in syntax.check(text, "c")] == [1, 3, 5, 8]
 
 
+def test_all_errors_are_kept(spark):
+    df = spark.createDataFrame([("/a.c", "r", "c", "int a = ;\n" * 50)], "file_path string, repo string, language string, text string")
+    row = syntax.verdicts(df).first()
+    assert row.n_errors == len(row.errors) == 50 and [e.line for e in row.errors] == list(range(1, 51))
+
+
 def test_verdicts_and_rates(spark):
     S = "file_path string, repo string, language string, text string, n_errors int"
     rows = [("/a.c", "r", "c", "int x;", 5), ("/a.c", "r", "c", "int x;", 5), ("/b.cc", None, None, "int", 5), ("/c.h", "r", "cpp", None, 5), (None, "r", "c", "x", 5), ("/d.c", "r", None, "class A {};", 5), ("/e.c", "r", "C ", LONG, 5)]
