@@ -11,9 +11,13 @@ leftover block whose last line is just before the chunk's first; both are joined
 Descriptions need a sentence of WORDS words or more: tags without text, the bare name, markers,
 banners, tool directives and commented-out code are none.
 
-Templates: a description whose text, with the function's own name and numbers left out, is repeated
-by at least TEMPLATE_COUNT different functions in at least TEMPLATE_FILES base names is corpus
-boilerplate; hash counts mark it (column repeats) and pairs() can drop it.
+Templates: a description whose text, with the function's own name and numbers left out, documents at
+least the share TEMPLATE_SHARE of the corpus's function names (and TEMPLATE_NAMES of them) is
+boilerplate; exact hash counts mark it (column repeats) and pairs() can drop it. A unit copied with
+its function under one name is none.
+
+Valid bodies: with their code, pairs say whether the function parses as a whole (column valid), so
+that whole functions can be taken out of broken files.
 
 Defined cases: null file_path or text gives no pair; a null line joins no leftover block; chunks
 stored twice give one pair (the longest code); empty and very long texts are handled as any other;
@@ -34,7 +38,7 @@ from ragloom.llm import syntax
 from ragloom.runtime import cut
 
 WORDS = 5
-TEMPLATE_COUNT, TEMPLATE_FILES = 50, 25
+TEMPLATE_SHARE, TEMPLATE_NAMES = 0.01, 5
 MEMO = 100_000
 
 _TYPE_WORDS = sorted(syntax._TYPES | syntax._MODIFIERS)
@@ -113,6 +117,35 @@ def recognise(start: str, tokens: tuple[str, ...]) -> bool:
 _HEADS: dict[tuple, int] = {}
 _CLASS = frozenset(("class", "struct", "union"))
 _STATEMENT = frozenset("if for while switch do return else case default enum namespace = goto".split())
+_CLOSER = {"(": ")", "[": "]", "{": "}"}
+
+
+def folded(tokens: tuple[str, ...]) -> tuple[list[str], list[int]] | None:
+    """Tokens with what brackets hold made one, and their places; None if brackets don't match.
+
+    The brackets' content is regular for the head grammar, so heads of any length stay short.
+    """
+    out, at, open_ = [], [], []
+    for j, t in enumerate(tokens):
+        if t in _CLOSER:
+            if not open_:
+                out.append(t)
+                at.append(j)
+            open_.append(_CLOSER[t])
+        elif open_ and t == open_[-1]:
+            open_.pop()
+            if not open_:
+                if at[-1] < j - 1:
+                    out.append(_ANY)
+                    at.append(at[-1] + 1)
+                out.append(t)
+                at.append(j)
+        elif t in (")", "]", "}"):
+            return None
+        elif not open_:
+            out.append(t)
+            at.append(j)
+    return None if open_ else (out, at)
 
 
 def head_name(tokens: tuple[str, ...]) -> int:
@@ -123,13 +156,18 @@ def head_name(tokens: tuple[str, ...]) -> int:
     if len(_HEADS) > MEMO:
         _HEADS.clear()
     at = -1
-    if tokens and tokens[0] not in _STATEMENT and len(tokens) < 400:
-        depth = 0
-        for j, t in enumerate(tokens):
-            if t == "(" and depth == 0 and j and (tokens[j - 1] == "i" or "operator" in tokens[max(0, j - 3) : j]) and recognise("before", tokens[:j]) and recognise("after", tokens[j:]):
-                at = j
-                break
-            depth += (t in "([{") - (t in ")]}")
+    short = folded(tokens) if tokens and tokens[0] not in _STATEMENT else None
+    if short is not None:
+        fold, places = short
+        groups = angles = 0
+        for j, t in enumerate(fold):
+            if t == "(":
+                # before the parameters, brackets stand within template arguments or attributes only
+                if groups <= angles and j and (fold[j - 1] == "i" or "operator" in fold[max(0, j - 3) : j]) and recognise("before", tuple(fold[:j])) and recognise("after", tuple(fold[j:])):
+                    at = places[j]
+                    break
+                groups += fold[j - 1] != "operator" if j else 1
+            angles += t == "<"
     _HEADS[tokens] = at
     return at
 
@@ -279,7 +317,7 @@ def tail_comment(text: str) -> str | None:
         lines = text.replace("\n\n", "\n").split("\n")
     if lines and lines[-1] == "" and text.endswith("\n"):
         lines = lines[:-1]
-    return above([x.rstrip("\r") for x in lines[-400:]])
+    return above([x.rstrip("\r") for x in lines])
 
 
 _PARTS = "file_path string, line int, kind string, func_name string, code string, comment string, rest boolean"
@@ -318,7 +356,7 @@ def parts(chunks: DataFrame, with_code: bool = True) -> DataFrame:
 
 
 def pairs(chunks: DataFrame, with_code: bool = True, drop_templates: bool = True) -> DataFrame:
-    """(file_path, func_name, code, description, repeats) of documented functions."""
+    """(file_path, func_name, code, description, repeats; valid, if the code is asked for) of documented functions."""
     describe = F.pandas_udf(lambda s: s.map(described), "string")
     found = cut(parts(chunks, with_code))
     own = found.where("kind = 'function'")
@@ -327,13 +365,16 @@ def pairs(chunks: DataFrame, with_code: bool = True, drop_templates: bool = True
     text = F.coalesce("comment", F.when(F.col("rest"), F.col("tail")))
     documented = joined.withColumn("description", describe(text)).where("description IS NOT NULL")
     one = documented.groupBy("file_path", "func_name").agg(F.max(F.struct(F.length("code").alias("n"), "code", "description")).alias("x")).select("file_path", "func_name", "x.code", "x.description")
-    plain = F.regexp_replace(F.lower("description"), r"[\d\W_]+", " ")
-    keyed = one.withColumn("h", F.xxhash64(F.expr("replace(lower(description), lower(func_name), '')"), plain))
-    counts = keyed.groupBy("h").agg(
-        F.approx_count_distinct("func_name", 0.02).alias("names"), F.approx_count_distinct(F.regexp_extract("file_path", "([^/]*)$", 1), 0.02).alias("bases"), F.count("*").alias("repeats")
-    )
-    common = counts.where((F.col("names") >= TEMPLATE_COUNT) & (F.col("bases") >= TEMPLATE_FILES)).select("h", "repeats")
+    bare = F.regexp_replace(F.expr("replace(lower(description), lower(func_name), '')"), r"(?U)[\d\W_]+", " ")
+    keyed = one.withColumn("h", F.xxhash64(bare))
+    names = keyed.groupBy("h", "func_name").agg(F.count("*").alias("n"))  # exact, and a hot template is spread over its names
+    counts = names.groupBy("h").agg(F.count("*").alias("names"), F.sum("n").alias("repeats"))
+    total = names.agg(F.count_distinct("func_name").alias("total")).withColumn("one", F.lit(1))  # one row
+    common = counts.where(F.col("names") >= TEMPLATE_NAMES).withColumn("one", F.lit(1)).join(F.broadcast(total), "one").where(F.col("names") >= TEMPLATE_SHARE * F.col("total")).select("h", "repeats")
     out = keyed.join(common, "h", "left")
     if drop_templates:
         out = out.where("repeats IS NULL")
-    return out.select("file_path", "func_name", "code", "description", F.coalesce("repeats", F.lit(1)).alias("repeats"))
+    if with_code:
+        parses = F.pandas_udf(lambda s: s.map(lambda code: not syntax.check(code, "cpp")), "boolean")
+        out = out.withColumn("valid", parses("code"))
+    return out.select("file_path", "func_name", "code", "description", F.coalesce("repeats", F.lit(1)).alias("repeats"), *(["valid"] if with_code else []))

@@ -219,6 +219,20 @@ def test_pairs(spark):
     assert documented.pairs(spark.createDataFrame([], S)).collect() == []
 
 
+def test_long_heads_and_comments(spark):
+    S = "file_path string, node_type string, start_line int, end_line int, text string"
+    params = ", ".join(f"const std::map<int, T{k}>& p{k} = f({{{k}, 2}})" for k in range(400))
+    tail = "/*\n\n" + f" * {DOC}\n\n" + " * x\n\n" * 900 + " */\n\n"
+    rows = [
+        ("/a.cc", "function", 1, 3, f"// {DOC}\nint many({params}) {{ return 1; }}"),
+        ("/b.cc", "leftover_block", 1, 9, tail),
+        ("/b.cc", "function", 10, 12, "int tailed(int n) { return 1 + ; }"),
+        ("/c.cc", "function", 1, 2, "// 1 2\n" + "f " * 3000 + "(" + "a(b) < " * 3000 + ") {}"),
+    ]
+    got = {r.func_name: r.valid for r in documented.pairs(spark.createDataFrame(rows, S)).collect()}
+    assert got == {"many": True, "tailed": False}
+
+
 def test_templates_are_dropped(spark):
     S = "file_path string, node_type string, start_line int, end_line int, text string"
     rows = [(f"/d{k}/n{k}.cc", "function", 2, 3, f"// Standard accessor of this part, made by the wizard for fn{k}.\nint fn{k}() {{ }}") for k in range(60)]
