@@ -181,12 +181,20 @@ def page_features(docs: DataFrame, key: str = "doc_id", text: str = "text", url:
 
 
 def fit(pages: DataFrame) -> Trees | None:
-    """Trees of a bounded sample: at most FIT_ROWS pages of each label come to the driver."""
+    """Trees of a bounded sample, the same for any partitioning: FIT_ROWS pages of each label, those with the smallest hashes.
+
+    The share of hashes that holds about FIT_ROWS and a quarter more is taken from the labels' counts, so
+    that no partition sends more than its part of them to the driver.
+    """
+    sizes = {r[0]: r[1] for r in pages.where("label IN (0, 1)").groupBy("label").count().collect()}
+    if set(sizes) != {0, 1}:
+        return None
+    place = F.xxhash64("doc_id")
     parts = []
     for label in (0, 1):
-        rows = pages.where(F.col("label") == label).select("doc_id", "x").orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS).collect()
-        if not rows:
-            return None
+        edge = min(2**63 - 1, int((1.25 * FIT_ROWS + 200) / sizes[label] * 2**64) - 2**63)
+        near = pages.where((F.col("label") == label) & (place <= edge)).groupBy("doc_id").agg(F.max("x").alias("x"))
+        rows = sorted(near.select(place.alias("at"), "doc_id", "x").collect())[:FIT_ROWS]
         parts.append(np.array([r.x for r in rows]))
     return Trees(np.vstack(parts), np.concatenate([np.zeros(len(parts[0])), np.ones(len(parts[1]))]))
 
