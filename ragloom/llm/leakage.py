@@ -11,7 +11,8 @@ also inside sentences; units are words that follow a number in several items. Do
 asked for capitals, as case doesn't count.
 
 The items' window hashes are sent to the workers, which drop all other windows before the join, if
-there are at most BROADCAST_WINDOWS; beyond it every window is shuffled to the same join. A window
+there are at most BROADCAST_WINDOWS; beyond it every window is shuffled to the same join. The items
+are counted before anything of them is sent; at most BROADCAST_ITEMS windows are broadcast whole. A window
 joins at most as many rows as there are items with it; documents are never joined with each other.
 
 Defined cases: null and empty texts hold no window; items shorter than SPAN words leak nothing;
@@ -24,15 +25,18 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ragloom.runtime import cut
+
 SPAN = 12
 #: Item windows whose hashes are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
+#: Item windows that are broadcast with their words (about 400 bytes each); more are joined by a shuffle, in SALT copies.
+BROADCAST_ITEMS, SALT = 30_000, 16
 #: A word is a unit if it follows a number in so many items.
 UNIT_ITEMS = 3
 #: Words a worker remembers the hashes of; on reaching it the memory starts anew.
@@ -49,26 +53,32 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def lexicon(texts: list[str]) -> dict[str, str]:
-    """word -> placeholder, learned from the items' texts."""
-    plain: set[str] = set()
-    names: set[str] = set()
-    units: dict[str, int] = {}
-    for text in texts:
-        found = [(m.group(), m.start()) for m in _WORD.finditer(text)]
-        followers = set()
-        for k, (w, at) in enumerate(found):
-            low = w.lower()
-            if not w[0].isupper():
-                plain.add(low)
-            elif k and not re.search(r"[.!?:]\s*$", text[max(0, at - 4) : at]):
-                names.add(low)
-            if k and found[k - 1][0].isdigit() and w.isalpha() and not w[0].isupper():
-                followers.add(low)
-        for w in followers:
-            units[w] = units.get(w, 0) + 1
-    lex = {w: "<unit>" for w, n in units.items() if n >= UNIT_ITEMS}
-    return lex | {w: "<name>" for w in names - plain}
+def uses(text: str) -> dict[str, tuple[bool, bool, bool]]:
+    """word -> whether a text has it in small letters, as a name, as a unit."""
+    out: dict[str, tuple[bool, bool, bool]] = {}
+    found = [(m.group(), m.start()) for m in _WORD.finditer(text)]
+    for k, (w, at) in enumerate(found):
+        plain = not w[0].isupper()
+        name = not plain and k > 0 and not re.search(r"[.!?:]\s*$", text[max(0, at - 4) : at])
+        unit = k > 0 and found[k - 1][0][0].isdigit() and w.isalpha() and plain
+        a, b, c = out.get(w.lower(), (False, False, False))
+        out[w.lower()] = (a or plain, b or name, c or unit)
+    return out
+
+
+def lexicon(items: DataFrame) -> dict[str, str]:
+    """word -> placeholder, counted over the items (item_id, text); only names and units come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(w, *map(int, u)) for t in batch.column(0).to_pylist() for w, u in uses(t).items()]
+            columns = list(zip(*rows)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int32()))], names=["word", "plain", "name", "unit"])
+
+    words = items.where("text IS NOT NULL").select("text").mapInArrow(run, "word string, plain int, name int, unit int")
+    rated = words.groupBy("word").agg(F.max("plain").alias("plain"), F.max("name").alias("name"), F.sum("unit").alias("unit"))
+    named = F.when((F.col("name") > 0) & (F.col("plain") == 0), "<name>").when(F.col("unit") >= UNIT_ITEMS, "<unit>")
+    return dict(map(tuple, rated.select("word", named.alias("as")).where("`as` IS NOT NULL").collect()))
 
 
 def slot(word: str, lex: dict[str, str]) -> str | None:
@@ -108,17 +118,24 @@ class Windows:
         return total[good].view(np.int64), text[good], (at - (ends - counts)[text])[good]
 
 
-def item_windows(items: DataFrame, key: str = "item_id", text: str = "text") -> tuple[pd.DataFrame, dict[str, str]]:
-    """All windows of the test items, and the lexicon. The items are a fixed held-out set and small."""
-    rows = items.select(key, text).where(F.col(key).isNotNull()).distinct().toPandas()
-    texts = [t or "" for t in rows[text]]
-    lex = lexicon(texts)
-    words = [words_of(t) for t in texts]
-    h, n, at = Windows(lex)(words)
-    out = pd.DataFrame({"item_id": rows[key].to_numpy()[n].astype("int64"), "h": h, "item_at": at.astype("int32")})
-    out["item_words"] = [words[i][a : a + SPAN] for i, a in zip(n, at)]
-    out["slots"] = [[slot(w, lex) or "" for w in ws] for ws in out["item_words"]]
-    return out, lex
+_ITEM = "item_id long, h long, item_at int, item_words array<string>, slots array<string>"
+
+
+def item_windows(items: DataFrame, lex: dict[str, str]) -> DataFrame:
+    """All windows of the test items (item_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = Windows(lex)
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            h, n, at = windows(words)
+            cut_ = [words[i][a : a + SPAN] for i, a in zip(n.tolist(), at.tolist())]
+            slots = [[slot(w, lex) or "" for w in ws] for ws in cut_]
+            lists = pa.list_(pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(ids[n], pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(cut_, lists), pa.array(slots, lists)], names=["item_id", "h", "item_at", "item_words", "slots"])
+
+    return items.mapInArrow(run, _ITEM)
 
 
 _DOC = "doc_id long, h long, doc_at int, doc_words array<string>"
@@ -158,12 +175,18 @@ def document_windows(docs: DataFrame, lex: dict[str, str], only: np.ndarray | No
 
 def leaks(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text") -> DataFrame:
     """(item_id, doc_id, kind, windows): kind is exact or reparameterised; one row for a pair."""
-    spark = docs.sparkSession
-    table, lex = item_windows(items, item_key, text)
-    fields = "item_id long, h long, item_at int, item_words array<string>, slots array<string>"
-    rows = spark.createDataFrame(table, fields) if len(table) else spark.createDataFrame([], fields)
-    only = np.unique(table["h"].to_numpy(dtype=np.int64)) if len(table) <= BROADCAST_WINDOWS else None
-    found = document_windows(docs, lex, only, doc_key, text).join(rows, "h")
+    known = cut(items.where(F.col(item_key).isNotNull() & F.col(text).isNotNull()).select(F.col(item_key).cast("long").alias("item_id"), F.col(text).alias("text")).distinct())
+    lex = lexicon(known)
+    seen = Observation()
+    rows = cut(item_windows(known, lex).observe(seen, F.count("*").alias("n")))
+    n = seen.get["n"]
+    only = np.array([r[0] for r in rows.select("h").distinct().collect()], dtype=np.int64) if n <= BROADCAST_WINDOWS else None
+    own = document_windows(docs, lex, only, doc_key, text)
+    if n <= BROADCAST_ITEMS:
+        found = own.join(F.broadcast(rows), "h")
+    else:  # a window of a common instruction may be hot on both sides
+        salted = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+        found = own.withColumn("salt", F.pmod(F.xxhash64("doc_id", "doc_at"), F.lit(SALT)).cast("int")).join(salted, ["h", "salt"])
     same = F.expr("item_words = doc_words")
     pairs = F.expr("filter(zip_with(arrays_zip(slots, item_words), doc_words, (i, d) -> struct(i.slots AS s, i.item_words AS i, d AS d)), x -> x.s <> '')")
     found = (
