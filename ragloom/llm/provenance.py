@@ -3,20 +3,24 @@
 Vendored copies are found by Merkle hashes computed bottom-up over the directory trees: a file's
 hash is that of its text without white space differences, a directory's that of the multiset of its
 children's hashes, names left out. A subtree that occurs in MIN_REPOS or more unrelated repositories
-marks all files below it as copies. Repositories are unrelated if their own root hashes differ, so
-that mirrors of one repository count once. Files with less code than MIN_CODE characters prove
+marks all files below it as copies. Repositories are unrelated if the hashes of their own folders (the
+uppermost ones that hold no other repository's files) differ, so that mirrors of one repository count
+once, whatever their names. Files with less code than MIN_CODE characters prove
 nothing on their own.
 
 Generated, minified and data files are told by header and layout rules on each text: a marker in the
 opening comments that says the file itself is a tool's output; functions that are numbered siblings;
 dense long lines; texts that are mostly literals or an encoded dump.
 
-A copy that only one repository holds has no partner; it is told by its opening comments (a release
-banner or upstream note that names the file's own library) or by a folder kept for foreign code.
+A copy that only one repository holds has no partner, so that hashes cannot tell it. Its reason is
+"foreign", apart from "vendored": the opening comments (a release banner or upstream note that names
+the file's own library), or a folder kept for foreign code.
 
 A directory's hash is a sum and an exclusive or over its children, so that a directory with any
-share of all files is combined on the map side; hot hashes are aggregated by (hash, repository)
-first. No group is collected.
+share of all files is combined on the map side; levels are cut, each is made once. Hot hashes are
+aggregated by (hash, repository) first, and both joins on keys that many files share (a hash, a
+folder) meet SALT copies of the small side. Files ask only for folders at depths where a shared
+folder lies. No group is collected.
 
 Defined cases: null paths or texts are dropped; a null repository is taken from the path; the same
 path stored twice is one file (flagged if any of its texts is); empty texts are never flagged; other
@@ -36,6 +40,7 @@ from ragloom.runtime import cut
 
 MIN_REPOS = 2
 MIN_CODE = 200
+SALT = 16
 
 _OPENING = re.compile(r"\A[﻿\s]*(?:(?://[^\n]*|/\*[\s\S]*?\*/)\s*)+")
 _OUTPUT = re.compile(
@@ -134,67 +139,83 @@ def content_kinds(files: DataFrame) -> DataFrame:
         for batch in batches:
             paths = batch.column(0).to_pylist()
             texts = [t.replace("\r\n", "\n") for t in batch.column(1).to_pylist()]
-            got = [(p, k) for p, t in zip(paths, texts) if (k := kind(t) or ("vendored" if t.strip() and foreign(p, t) else None))]
+            got = [(p, k) for p, t in zip(paths, texts) if (k := kind(t) or ("foreign" if t.strip() and foreign(p, t) else None))]
             yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in got], pa.string()), pa.array([k for _, k in got], pa.string())], names=["file_path", "kind"])
 
     rows = files.where("file_path IS NOT NULL AND text IS NOT NULL").select("file_path", "text")
     return rows.mapInArrow(run, "file_path string, kind string")
 
 
+_NODE = ["path", "lowest", "highest", "h", "g", "code", "is_file"]
+
+
 def merkle(files: DataFrame) -> DataFrame:
-    """(path, parent, depth, repo, h, g, code, is_file): the nodes of all trees with two hashes each."""
+    """(path, depth, lowest, highest, h, g, code, is_file): the nodes of all trees with two hashes each.
+
+    lowest and highest are the least and greatest repository below a node. A path stored with several
+    texts has a node for each, but only one of them counts in its folder.
+    """
     plain = F.trim(F.regexp_replace("text", r"\s+", " "))
-    leaf = (
-        files.where("file_path IS NOT NULL AND text IS NOT NULL")
-        .select("file_path", "repo", plain.alias("t"))
-        .select("file_path", F.coalesce("repo", F.try_element_at(F.split(F.ltrim("file_path", F.lit("/")), "/"), F.lit(2)), F.lit("")).alias("repo"), F.xxhash64("t").alias("h"), F.hash("t", F.length("t")).cast("long").alias("g"), F.length("t").cast("long").alias("code"))
-    )
-    parts = F.size(F.split("path", "/"))
-    nodes = leaf.groupBy(F.col("file_path").alias("path")).agg(F.max(F.struct("h", "g", "code")).alias("x"), F.max("repo").alias("repo"))
-    nodes = cut(nodes.select("path", parts.alias("depth"), "repo", "x.h", "x.g", "x.code"))
-    deepest = nodes.agg(F.max("depth")).first()[0] or 0
-    level = lambda d: nodes.where(F.col("depth") == d).select("path", "repo", "h", "g", "code", F.lit(True).alias("is_file"))
-    out, below = [], None
+    repo = F.coalesce("repo", F.try_element_at(F.split(F.ltrim("file_path", F.lit("/")), "/"), F.lit(2)), F.lit(""))
+    leaf = files.where("file_path IS NOT NULL AND text IS NOT NULL").select("file_path", repo.alias("repo"), plain.alias("t"))
+    leaf = leaf.select(F.col("file_path").alias("path"), "repo", F.xxhash64("t").alias("h"), F.hash("t", F.length("t")).cast("long").alias("g"), F.length("t").cast("long").alias("code"))
+    leaf = leaf.groupBy("path", "h", "g").agg(F.max("code").alias("code"), F.min("repo").alias("lowest"), F.max("repo").alias("highest"))
+    leaf = cut(leaf.withColumns({"depth": F.size(F.split("path", "/")), "is_file": F.lit(True)}))
+    deepest = leaf.agg(F.max("depth")).first()[0] or 0
+    out, below = [leaf.select("depth", *_NODE)], None
     for d in range(deepest, 1, -1):
-        here = level(d) if below is None else level(d).unionByName(below)
-        here = here.withColumn("parent", F.regexp_extract("path", r"^(.*)/[^/]*$", 1))
-        out.append(here.withColumn("depth", F.lit(d)))
+        own = leaf.where(F.col("depth") == d).groupBy("path").agg(F.max(F.struct("h", "g", "code")).alias("x"), F.min("lowest").alias("lowest"), F.max("highest").alias("highest"))
+        here = own.select("path", "lowest", "highest", "x.h", "x.g", "x.code")
+        here = here if below is None else here.unionByName(below.select(here.columns))
         both = F.xxhash64("h", "g")
-        below = here.groupBy(F.col("parent").alias("path")).agg(
-            F.max("repo").alias("repo"),
+        below = here.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("path")).agg(
+            F.min("lowest").alias("lowest"),
+            F.max("highest").alias("highest"),
             F.xxhash64(F.bit_xor(both), F.sum(F.pmod(both, F.lit(1_000_000_007))), F.count("*")).alias("h"),
             F.hash(F.bit_xor(F.hash("g", "h")), F.sum(F.pmod(F.hash("h"), F.lit(999_983)).cast("long")), F.count("*")).cast("long").alias("g"),
             F.sum("code").alias("code"),
             F.lit(False).alias("is_file"),
         )
-    if not out:
-        return nodes.select("path", F.lit("").alias("parent"), "depth", "repo", "h", "g", "code", F.lit(True).alias("is_file"))
-    all_nodes = out[0]
+        below = cut(below.withColumn("depth", F.lit(d - 1)))
+        out.append(below.select("depth", *_NODE))
+    nodes = out[0]
     for x in out[1:]:
-        all_nodes = all_nodes.unionByName(x)
-    return all_nodes
+        nodes = nodes.unionByName(x)
+    return nodes
 
 
 def shared_subtrees(nodes: DataFrame) -> DataFrame:
     """(h, g, repos): hashes of subtrees that MIN_REPOS or more unrelated repositories hold."""
-    roots = nodes.where("NOT is_file AND depth <= 3").groupBy("repo").agg(F.bit_xor(F.xxhash64("h", "g")).alias("root"))
-    held = nodes.where(F.col("code") >= MIN_CODE).groupBy("h", "g", "repo").agg(F.lit(1).alias("one"))
+    own = nodes.where("lowest = highest").withColumnRenamed("lowest", "repo")
+    roots = own.where("NOT is_file").groupBy("repo", "depth").agg(F.bit_xor(F.xxhash64("h", "g")).alias("root")).groupBy("repo").agg(F.min_by("root", "depth").alias("root"))
+    held = own.where(F.col("code") >= MIN_CODE).groupBy("h", "g", "repo").agg(F.lit(1).alias("one"))
     kept = held.join(roots, "repo", "left").groupBy("h", "g", F.coalesce("root", F.xxhash64("repo")).alias("root")).agg(F.lit(1).alias("one"))
     return kept.groupBy("h", "g").agg(F.count("*").alias("repos")).where(F.col("repos") >= MIN_REPOS)
 
 
+def _salted(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+
+
 def vendored(files: DataFrame) -> DataFrame:
     """(file_path, repos) of the files below a shared subtree."""
-    nodes = cut(merkle(files))
-    marked = nodes.join(shared_subtrees(nodes), ["h", "g"]).select("path", "is_file", "repos")
+    nodes = merkle(files)
+    salt = F.pmod(F.xxhash64("path"), F.lit(SALT)).cast("int").alias("salt")
+    marked = cut(nodes.select("path", "depth", "is_file", "h", "g", salt).join(_salted(shared_subtrees(nodes)), ["h", "g", "salt"]).select("path", "depth", "is_file", "repos"))
     own = marked.where("is_file").select(F.col("path").alias("file_path"), "repos")
-    dirs = marked.where("NOT is_file").select("path", "repos")
-    ups = nodes.where("is_file").select(F.col("path").alias("file_path"), F.expr("transform(sequence(1, size(split(path, '/')) - 1), k -> concat_ws('/', slice(split(path, '/'), 1, k)))").alias("ups"))
-    through = ups.select("file_path", F.explode("ups").alias("path")).join(dirs, "path").select("file_path", "repos")
+    dirs = marked.where("NOT is_file")
+    depths = sorted(r[0] for r in dirs.select("depth").distinct().collect())  # as many as levels
+    if not depths:
+        return own.groupBy("file_path").agg(F.max("repos").alias("repos"))
+    wanted = F.array(*map(F.lit, depths))
+    paths = nodes.where("is_file").select("path", salt).distinct()
+    ups = paths.select(F.col("path").alias("file_path"), "salt", F.explode(F.filter(wanted, lambda k: k < F.size(F.split("path", "/")))).alias("depth"))
+    ups = ups.select("file_path", "salt", F.concat_ws("/", F.slice(F.split("file_path", "/"), F.lit(1), F.col("depth"))).alias("path"))
+    through = ups.join(_salted(dirs.select("path", "repos")), ["path", "salt"]).select("file_path", "repos")
     return own.unionByName(through).groupBy("file_path").agg(F.max("repos").alias("repos"))
 
 
 def not_hand_written(files: DataFrame) -> DataFrame:
     """(file_path, kinds): every file that nobody wrote by hand, with the reasons."""
     reasons = content_kinds(files).unionByName(vendored(files).select("file_path", F.lit("vendored").alias("kind"))).distinct()
-    return reasons.groupBy("file_path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # four kinds at most
+    return reasons.groupBy("file_path").agg(F.array_sort(F.collect_set("kind")).alias("kinds"))  # five kinds at most

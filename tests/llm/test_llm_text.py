@@ -60,6 +60,8 @@ def test_leaks(spark):
 def test_leaks_without_the_broadcast(spark, monkeypatch):
     docs = [(1, ITEMS[0][1]), (2, "nothing at all " * 9)]
     want = leak(spark, docs)
+    monkeypatch.setattr(leakage, "BROADCAST_ITEMS", -1)
+    assert leak(spark, docs) == want
     monkeypatch.setattr(leakage, "BROADCAST_WINDOWS", -1)
     assert leak(spark, docs) == want == {(1, 1): "exact"}
 
@@ -284,6 +286,25 @@ def test_vendored_subtrees(spark):
     assert provenance.not_hand_written(spark.createDataFrame([], S)).collect() == []
 
 
+def test_mirrors_are_one_repository(spark):
+    S = "file_path string, repo string, text string"
+    text = lambda k: f"int part_{k}(int a) {{ return a + {k}; }}\n" * 9
+    for names in (("zz", "aa"), ("aa", "zz"), ("m1", "m2")):
+        rows = [(f"/c/{n}/src/x{k}.c", n, text(k)) for n in names for k in range(3)]
+        rows += [("/c/other/src/y.c", "other", text(9))]
+        assert provenance.vendored(spark.createDataFrame(rows, S)).collect() == []
+        rows += [("/c/other/src/x0.c", "other", text(0))]
+        got = {r.file_path for r in provenance.vendored(spark.createDataFrame(rows, S)).collect()}
+        assert got == {f"/c/{n}/src/x0.c" for n in (*names, "other")}
+
+
+def test_any_text_of_a_path_counts(spark):
+    S = "file_path string, repo string, text string"
+    lib, own = "int lib(int a) { return a; }\n" * 9, "int own(int a) { return a; }\n" * 12
+    rows = [("/c/one/x.c", "one", lib), ("/c/one/x.c", "one", own), ("/c/two/src/y.c", "two", lib), ("/c/two/src/z.c", "two", own[:250])]
+    assert {r.file_path for r in provenance.vendored(spark.createDataFrame(rows, S)).collect()} == {"/c/one/x.c", "/c/two/src/y.c"}
+
+
 def scan_rows():
     rng = random.Random(4)
     nouns, verbs = "pump gear wheel shaft motor frame".split(), "turns moves holds checks".split()
