@@ -26,6 +26,11 @@ def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scans.paragraphs(table(spark, sf_dir, "pdf_page"))
 
 
+def p2_chunk_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paragraphs of the PDF items of doc_chunk, whose windows are put together to pages first."""
+    return scans.paragraphs(scans.pages_of_chunks(table(spark, sf_dir, "doc_chunk").where("format = 'pdf'")))
+
+
 def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of errors, first line, first cause and all errors of every stored file."""
     return syntax.verdicts(table(spark, sf_dir, "code_file")).withColumn("errors", F.to_json("errors"))
@@ -83,7 +88,7 @@ SELECT DISTINCT {key}, array_to_string(w[i:i+11], ' ') AS s FROM w, LATERAL (SEL
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p4_found, p4_verdicts, p4_errors, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)} | ranking_queries.QUERIES | linkage_queries.QUERIES | piece_queries.QUERIES
+    return {f.__name__: f for f in (p1_found, p1_reasons, p2_found, p2_paragraphs, p2_chunk_paragraphs, p4_found, p4_verdicts, p4_errors, p4_rates, p7_found, p7_pairs, p8_ids, p9_found, p9_leaks, p10_found, p10_scores)} | ranking_queries.QUERIES | linkage_queries.QUERIES | piece_queries.QUERIES
 
 
 def oracle_sql() -> dict:

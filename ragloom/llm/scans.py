@@ -6,8 +6,7 @@ header or footer; lines with a number that follows the page numbers by the offse
 on are page numbers, also when misread.
 
 Misread characters: a noisy channel. Each suspicious word has itself and the words that one known
-confusion away as candidates; the channel's probabilities are estimated from the most frequent
-words, the language model has word and word-pair counts of all pages. Viterbi decodes each line over
+confusion away as candidates; the channel's probabilities are estimated from all words, the language model has word and word-pair counts of all pages. Viterbi decodes each line over
 its candidates; a line with a word that is decoded as another one holds a misread character. A word
 whose count the noise of a frequent neighbour explains has no claim to be a word of its own.
 
@@ -17,8 +16,9 @@ body line; it is broken if the joined word is better attested than the compound
 All counts cover all pages. Documents are never collected: pages are the unit; key and offset votes
 are aggregated on the map side; the neighbouring body lines of a page come from windows over blocks
 of BLOCK pages and then over blocks, so that a document with any share of the pages is spread. The
-workers get the SETTLED most frequent words that no confusion puts in doubt (a bounded list that
-only saves lookups); all other words are looked up by a join.
+workers get the counts of at most SETTLED frequent words for which no candidate is frequent enough to
+be decoded (a bounded table that only saves lookups, whatever its size); all other words are looked
+up by a join, so that its keys are rare ones.
 
 Defined cases: null paths or pages are dropped; null and empty pages have no lines; a page stored
 twice counts once; line numbers are 1-based places in lines; null lines are blank; other columns
@@ -48,9 +48,10 @@ AGREE = 0.05
 #: A line form is furniture everywhere if this share of its lines in so many documents is.
 FORM_SHARE, FORM_DOCS = 0.8, 3
 BLOCK = 64
+#: Words whose counts the workers hold. What is asked of the join does not change the result.
 SETTLED = 60_000
-#: Pair counts below it are left out of the model.
-PAIRS_FROM = 2
+#: A candidate must be so many times as frequent as the word; one that is SURE times as frequent shows what noise does.
+FACTOR, SURE = 10, 20
 #: Weight of the pair model, and the noise level before it is estimated.
 LAMBDA, NOISE = 0.6, 0.003
 
@@ -142,8 +143,6 @@ def edges(pages: DataFrame) -> DataFrame:
                 full = [(i, x) for i, x in enumerate(lines or [], 1) if x and x.strip()]
                 for side, outer in (("top", full), ("bottom", full[::-1])):
                     for rank, (i, x) in enumerate(outer[:EDGE]):
-                        if len(x) > 120:
-                            continue
                         words = x.split()
                         title = 2 <= len(words) <= 8 and x.strip()[-1] not in ".,;:!?-" and all(w[:1].isupper() or w in ("and", "of", "the", "in", "for", "to", "a", "on") for w in words)
                         for style, value in numbers_of(x) or [(None, None)]:
@@ -300,30 +299,62 @@ def model(pages: DataFrame) -> DataFrame:
                 count = Counter()
         yield flush()
 
-    return pages.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).where(f"NOT (contains(key, ' ') AND n < {PAIRS_FROM})")
+    return pages.mapInArrow(run, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def settle(counts: DataFrame) -> tuple[frozenset[str], dict[tuple[str, str], float], int]:
-    """(frequent words beyond doubt, confusion probabilities, number of words), from a bounded list."""
+class Known:
+    """Counts of a page's keys, and those every worker holds."""
+
+    def __init__(self, found: dict[str, int], settled: dict[str, int]):
+        self.found, self.settled = found, settled
+
+    def get(self, key: str, default: int = 0) -> int:
+        n = self.found.get(key)
+        return self.settled.get(key, default) if n is None else n
+
+
+def settle(counts: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], float], int]:
+    """(counts of frequent words beyond doubt, confusion probabilities over all words, number of words).
+
+    Candidates are met with their counts by a join; to the driver come a row for each confusion, a
+    histogram, and the words above the count that at most SETTLED words reach.
+    """
     words = counts.where("NOT contains(key, ' ') AND NOT contains(key, '-')")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chances: Counter = Counter()
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.int32())
+        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) if rows else [()] * 4, kinds)], names=["key", "word", "n", "rule"])
+        rule_of = {rule: k for k, rule in enumerate(CONFUSIONS)}
+        for batch in batches:
+            rows = []
+            for w, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                rows += [(c, w, n, rule_of[rule]) for c, rule in candidates(w).items()]
+                for k, (_, b) in enumerate(CONFUSIONS):
+                    if b in w:
+                        chances[k] += n
+            yield make(rows)
+        yield make([(None, None, n, k) for k, n in chances.items()])
+
+    asked = cut(words.select("key", "n").mapInArrow(run, "key string, word string, n long, rule int"))
+    met = cut(asked.where("word IS NOT NULL").join(words.select("key", F.col("n").alias("c")), "key").where(F.col("c") >= FACTOR * F.col("n")).select("word", "n", "rule", "c"))
+    seen = {CONFUSIONS[r.rule]: r.n for r in met.where(F.col("c") >= SURE * F.col("n")).groupBy("rule").agg(F.sum("n").alias("n")).collect()}
+    chances = {CONFUSIONS[r.rule]: r.n for r in asked.where("word IS NULL").groupBy("rule").agg(F.sum("n").alias("n")).collect()}
+    noise = {rule: min(0.05, max(1e-4, (seen.get(rule, 0) + 1) / (chances.get(rule, 0) + 1 / NOISE))) for rule in CONFUSIONS}
+    sure = cut(words.where(F.col("key").rlike(r"^\p{L}+$") & (F.col("n") >= 3)).join(met.select(F.col("word").alias("key")).distinct(), "key", "left_anti").select("key", "n"))
+    size = F.floor(F.log2("n") * 8).cast("int")
+    held, least = 0, None
+    for r in sorted(sure.groupBy(size.alias("size")).count().collect(), reverse=True):
+        held += r["count"]
+        if held > SETTLED:
+            break
+        least = r.size
+    settled = {} if least is None else {r.key: r.n for r in sure.where(size >= least).collect()}
     total = words.agg(F.sum("n")).first()[0] or 1
-    top = {r.key: r.n for r in words.orderBy(F.desc("n"), "key").limit(SETTLED).collect()}
-    seen: dict[tuple[str, str], float] = defaultdict(float)
-    chances: dict[tuple[str, str], float] = defaultdict(float)
-    doubted = set()
-    for w, n in top.items():
-        for c, rule in candidates(w).items():
-            if top.get(c, 0) >= 20 * n:
-                doubted.add(w)
-                seen[rule] += n
-        for a, b in CONFUSIONS:
-            if b in w:
-                chances[(a, b)] += n
-    noise = {rule: min(0.05, max(1e-4, (seen[rule] + 1) / (chances[rule] + 1 / NOISE))) for rule in CONFUSIONS}
-    return frozenset(w for w in top if w not in doubted and w.isalpha()), noise, int(total)
-
-
-def doubtful(word: str, settled: frozenset[str]) -> bool:
+    return settled, noise, int(total)
+
+
+def doubtful(word: str, settled: dict[str, int]) -> bool:
     return word not in settled and bool(_LETTER.search(word) or re.search(r"[!|@$]", word)) and not _LABEL.fullmatch(word)
 
 
@@ -344,11 +375,11 @@ def _keys(body, before, after, settled) -> set[str]:
                 keys.update(x for x in words[max(0, k - 1) : k + 2])
         if head and tail:
             a, b = halves(head, tail)
-            keys.update((a + b, f"{a}-{b}", a, b, *candidates(a + b)))
-    return keys
+            keys.update((a + b, f"{a}-{b}", a, b, *candidates(a + b), *(c + b for c in candidates(a))))
+    return keys.difference(settled)
 
 
-def decode(words: list[str], n: dict[str, int], settled: frozenset[str], noise: dict, total: int) -> list[str]:
+def decode(words: list[str], n: Known, settled: dict[str, int], noise: dict, total: int) -> list[str]:
     """Viterbi over the candidates of each word of a line."""
     columns = []
     for w in words:
@@ -358,7 +389,7 @@ def decode(words: list[str], n: dict[str, int], settled: frozenset[str], noise:
             explained = 0.0
             for c, rule in candidates(w).items():
                 count = n.get(c, 0)
-                if count >= 10 * max(own, 1):
+                if count >= FACTOR * max(own, 1):
                     p = noise.get(rule, NOISE)
                     options.append((c, math.log(p), count))
                     explained += count * p
@@ -390,7 +421,7 @@ def decode(words: list[str], n: dict[str, int], settled: frozenset[str], noise:
     return out[::-1]
 
 
-def is_broken(head: str, tail: str, n: dict[str, int]) -> bool:
+def is_broken(head: str, tail: str, n: Known) -> bool:
     """Whether the word goes on without its hyphen."""
     if head[-1] in "\xad¬":
         return True
@@ -413,35 +444,34 @@ def repaired_lines(scan: DataFrame, with_text: bool = True) -> tuple[DataFrame,
     """(body lines with their repair and noise, furniture)."""
     pages = cut(single_pages(scan))
     outer = cut(furniture(pages))
-    body = cut(bodies(pages, outer))
+    body = cut(bodies(pages, outer).withColumn("pid", F.xxhash64("path", "page")))
     counts = cut(model(body))
     known = scan.sparkSession.sparkContext.broadcast(settle(counts))
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled = known.value[0]
         for batch in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for path, page, lines, before, after in zip(*(c.to_pylist() for c in batch.columns)):
-                for key in _keys(lines, before, after, settled):
-                    out[0].append(path)
-                    out[1].append(page)
-                    out[2].append(key)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.string())], names=["path", "page", "key"])
-
-    asked = body.mapInArrow(keys, "path string, page int, key string")
-    answered = asked.join(counts, "key").groupBy("path", "page").agg(F.collect_list(F.struct("key", "n")).alias("counts"))  # keys of one page
-    joined = body.join(answered, ["path", "page"], "left")
+            pid, key = [], []
+            for own, lines, before, after in zip(*(c.to_pylist() for c in batch.columns)):
+                found = _keys(lines, before, after, settled)
+                pid += [own] * len(found)
+                key += found
+            yield pa.RecordBatch.from_arrays([pa.array(pid, pa.int64()), pa.array(key, pa.string())], names=["pid", "key"])
+
+    asked = body.select("pid", "body", "before", "after").mapInArrow(keys, "pid long, key string")
+    answered = asked.join(counts, "key").groupBy("pid").agg(F.collect_list(F.struct("key", "n")).alias("counts"))  # keys of one page
+    joined = body.join(answered, "pid", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         settled, noise, total = known.value
         for batch in batches:
             rows = []
             for path, page, lines, before, after, found in zip(*(c.to_pylist() for c in batch.columns)):
-                n = {x["key"]: x["n"] for x in found or []}
+                n = Known({x["key"]: x["n"] for x in found or []}, settled)
                 for no, text, inner, head, tail in segments(lines, before, after):
                     words = _flat(inner)
                     said = decode(words, n, settled, noise, total)
-                    wrong = words != said or any(mixed_number(t) or inner_capital(t, n, settled) for t in inner)
+                    wrong = words != said or any(mixed_number(t) or inner_capital(t, n) for t in inner)
                     broken = bool(head and tail and is_broken(head, tail, n))
                     if head and tail and not wrong and broken:
                         wrong = misread_half(head, tail, n)
@@ -459,16 +489,16 @@ def mixed_number(token: str) -> bool:
     return bool(re.fullmatch(r"(?=.*\d)[\d.,]*[lIO|][\dlIO|.,]*", t)) and not t.isdigit()
 
 
-def inner_capital(token: str, n: dict[str, int], settled: frozenset[str]) -> bool:
+def inner_capital(token: str, n: Known) -> bool:
     """A capital O read for an o inside a word in small letters."""
     t = token.strip(_STRIP)
     if "O" not in t[1:] or t.isupper() or not re.search(r"[a-z]O|O[a-z]", t[1:] if t[0] != "O" else t):
         return False
     low = t.lower()
-    return low in settled or n.get(low, 0) >= 3 or not re.search(r"[a-z]O[a-z]{2,}", t)
+    return n.get(low) >= 3 or not re.search(r"[a-z]O[a-z]{2,}", t)
 
 
-def misread_half(head: str, tail: str, n: dict[str, int]) -> bool:
+def misread_half(head: str, tail: str, n: Known) -> bool:
     """Whether the part of a broken word that stands on its first line holds the confusion."""
     a, b = halves(head, tail)
     if n.get(a + b, 0):
@@ -494,11 +524,11 @@ def noise_of(scan: DataFrame) -> DataFrame:
 
 
 def paragraphs(scan: DataFrame) -> DataFrame:
-    """(path, page_number, paragraph_no, text, continues): readable paragraphs of each page.
+    """(path, page_number, paragraph_no, text, last_page): readable paragraphs, over page ends too.
 
     A paragraph ends at a blank line or at a line clearly shorter than the page's lines that ends a
-    sentence. continues says that the page's last paragraph goes on with the next page's first one,
-    without a blank between them if a word is broken there.
+    sentence. A page's last paragraph that does not end goes on with the next page's first one, without
+    a blank between them if a word is broken there; it stands at the page where it begins.
     """
     lines, _ = repaired_lines(scan)
     width = Window.partitionBy("path", "page")
@@ -507,9 +537,48 @@ def paragraphs(scan: DataFrame) -> DataFrame:
     ends = F.trim("text").rlike(r"[.!?:]['\")]*$") & (F.length("text") < long * 0.75)
     rows = lines.withColumn("ends", ends).withColumn("gap", (F.col("line_no") - F.lag("line_no").over(order)) > 1)
     rows = rows.withColumn("starts", (F.coalesce("gap", F.lit(False)) | F.coalesce(F.lag("ends").over(order), F.lit(False))).cast("int"))
-    rows = rows.withColumn("paragraph_no", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("no", F.sum("starts").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     piece = F.array_sort(F.collect_list(F.struct("line_no", "repaired", "broken", "ends")))  # lines of one page
-    grouped = rows.groupBy("path", "page", "paragraph_no").agg(piece.alias("p"))
-    text = F.expr("aggregate(p, '', (acc, x) -> concat(acc, x.repaired, CASE WHEN x.broken THEN '' ELSE ' ' END), acc -> trim(acc))")
-    last = F.max("paragraph_no").over(width)
-    return grouped.select("path", F.col("page").alias("page_number"), F.col("paragraph_no").cast("int").alias("paragraph_no"), text.alias("text"), ((F.col("paragraph_no") == last) & ~F.expr("element_at(p, -1).ends")).alias("continues"))
+    grouped = rows.groupBy("path", "page", "no").agg(piece.alias("p"))
+    glued = "aggregate({0}, '', (acc, x) -> concat(acc, x.{1}, CASE WHEN x.broken THEN '' ELSE ' ' END))"
+    last = F.max("no").over(width)
+    parts = cut(grouped.select("path", "page", F.col("no").cast("int").alias("no"), F.expr(glued.format("p", "repaired")).alias("text"), F.expr("element_at(p, -1).broken").alias("broken"), F.expr("element_at(p, -1).ends").alias("ends"), (F.col("no") == last).alias("last")))
+    parts = parts.withColumn("text", F.rtrim("text")).withColumn("open", F.col("last") & ~F.col("ends"))
+    chained = parts.join(_chains(parts), ["path", "page"])
+    goes_on = (F.col("no") == 0) & F.col("goes_on")
+    at = F.when(goes_on, F.col("anchor")).otherwise(F.col("page"))
+    tail = F.when(goes_on | F.col("open"), F.lit(-1)).otherwise(F.col("no"))  # the open end of a page and what goes on with it
+    whole = chained.groupBy("path", at.alias("page_number"), tail.alias("tail")).agg(F.array_sort(F.collect_list(F.struct("page", "no", "text", "broken"))).alias("q"))
+    return whole.select("path", "page_number", F.expr("q[0].no").alias("paragraph_no"), F.trim(F.expr(glued.format("q", "text"))).alias("text"), F.expr("element_at(q, -1).page").alias("last_page"))
+
+
+def _chains(parts: DataFrame) -> DataFrame:
+    """(path, page, goes_on, anchor): whether a page's first paragraph goes on from earlier, and from which page.
+
+    Windows go over blocks of pages and then over blocks, as a document may have any share of the pages.
+    """
+    pages = parts.groupBy("path", "page").agg(F.max("open").alias("open"), (F.max("no") == 0).alias("single")).withColumn("block", F.floor(F.col("page") / BLOCK))
+    order = Window.partitionBy("path", "block").orderBy("page")
+    of_path = Window.partitionBy("path").orderBy("block")
+    before = of_path.rowsBetween(Window.unboundedPreceding, -1)
+    ends = pages.groupBy("path", "block").agg(F.max_by("open", "page").alias("b_open")).withColumn("b_open", F.lag("b_open").over(of_path))
+    pages = pages.withColumn("in_open", F.lag("open").over(order)).join(ends, ["path", "block"])
+    pages = pages.withColumn("goes_on", F.coalesce("in_open", "b_open", F.lit(False)))
+    pages = pages.withColumn("begins", F.when(~(F.col("goes_on") & F.col("single")), F.col("page")))
+    up = order.rowsBetween(Window.unboundedPreceding, -1)
+    firsts = pages.groupBy("path", "block").agg(F.max("begins").alias("b_begins")).withColumn("b_begins", F.last("b_begins", ignorenulls=True).over(before))
+    pages = pages.withColumn("in_begins", F.last("begins", ignorenulls=True).over(up)).join(firsts, ["path", "block"])
+    return pages.select("path", "page", "goes_on", F.coalesce("in_begins", "b_begins", "page").alias("anchor"))
+
+
+def pages_of_chunks(chunks: DataFrame) -> DataFrame:
+    """(path, page_number, lines): pages put together again from their windows (file_path, page_number, start_char, text).
+
+    Windows overlap; each adds what goes beyond the one before. Rows with a null path, page or text are
+    dropped, a null start is 0; a page stored twice has the same windows.
+    """
+    rows = chunks.where("file_path IS NOT NULL AND page_number IS NOT NULL AND text IS NOT NULL")
+    windows = F.array_sort(F.collect_set(F.struct(F.coalesce("start_char", F.lit(0)).alias("s"), F.col("text").alias("t"))))  # of one page
+    longer = "CASE WHEN x.s >= length(acc) THEN concat(acc, CASE WHEN length(acc) > 0 AND x.s > length(acc) THEN '\n' ELSE '' END, x.t) WHEN x.s + length(x.t) <= length(acc) THEN acc ELSE concat(acc, substring(x.t, length(acc) - x.s + 1)) END"
+    joined = rows.groupBy(F.col("file_path").alias("path"), "page_number").agg(windows.alias("w")).withColumn("t", F.expr(f"aggregate(w, '', (acc, x) -> {longer})"))
+    return joined.select("path", "page_number", F.split("t", "\r\n|\n|\r").alias("lines"))

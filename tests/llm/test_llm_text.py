@@ -333,6 +333,41 @@ def test_scans(spark):
     assert furniture == {(p[0], p[1], n) for p in pages for n in (1, len(p[2]))}
     assert {x[:3] for x in got if x[3] == "misread"} == {("/d0.pdf", 1, 4)}
     assert {x[:3] for x in got if x[3] == "broken_word"} == {("/d0.pdf", 2, 3), ("/d0.pdf", 3, 13)}
-    text = [r.text for r in scans.paragraphs(spark.createDataFrame(rows, S)).where("path = '/d0.pdf' AND page_number = 2").orderBy("paragraph_no").collect()]
+    text = [r.text for r in scans.paragraphs(spark.createDataFrame(rows, S)).where("path = '/d0.pdf' AND page_number <= 2").orderBy("paragraph_no").collect()]
     assert "the last motor here and the pump" in " ".join(text) and "Motor Report" not in " ".join(text)
     assert scans.noise_of(spark.createDataFrame([], S)).collect() == []
+
+
+def test_settled_words_change_nothing(spark, monkeypatch):
+    rng = random.Random(7)
+    pages = scan_rows()
+    for page in pages:
+        for k in range(1, 13):
+            if rng.random() < 0.2:
+                page[2][k] = page[2][k].replace(*rng.choice([("e", "c"), ("m", "rn"), ("o", "0"), ("h", "b")]), 1)
+    df = spark.createDataFrame([tuple(p) for p in pages], "path string, page_number int, lines array<string>")
+    want = sorted(map(tuple, scans.noise_of(df).collect()))
+    assert any(r[3] == "misread" for r in want)
+    for most in (0, 5):
+        monkeypatch.setattr(scans, "SETTLED", most)
+        assert sorted(map(tuple, scans.noise_of(df).collect())) == want
+
+
+def test_paragraphs_over_pages(spark):
+    pages = scan_rows()
+    long = "The frame that the wheel turns is not the last motor that the gear checks and holds"
+    pages[0][2][-2] = long + " in the mo-"
+    pages[1][2][1:-1] = ["tor " + long] * 12
+    pages[2][2][1:3] = ["and at last the motor stops here.", "The pump holds the gear that the wheel turns in the frame and moves it no more here."]
+    df = spark.createDataFrame([tuple(p) for p in pages], "path string, page_number int, lines array<string>")
+    got = {(r.page_number, r.paragraph_no): r for r in scans.paragraphs(df).where("path = '/d0.pdf' AND page_number <= 3").collect()}
+    first = max((r for r in got.values() if r.page_number == 1), key=lambda r: r.paragraph_no)
+    assert first.last_page == 3 and "in the motor The frame" in first.text and first.text.endswith("the motor stops here.")
+    assert not any(r.page_number == 2 for r in got.values())
+
+
+def test_pages_of_chunks(spark):
+    rows = [("/a.pdf", 1, 0, "one two\nthr"), ("/a.pdf", 1, 8, "three\nfour"), ("/a.pdf", 1, 8, "three\nfour"), ("/a.pdf", 2, None, ""), ("/a.pdf", None, 0, "x"), (None, 1, 0, "x"), ("/a.pdf", 3, 0, None)]
+    df = spark.createDataFrame(rows, "file_path string, page_number int, start_char int, text string")
+    assert {(r.page_number, tuple(r.lines)) for r in scans.pages_of_chunks(df).collect()} == {(1, ("one two", "three", "four")), (2, ("",))}
+    assert scans.pages_of_chunks(df.limit(0)).collect() == []
