@@ -32,21 +32,24 @@ def chunk_windows(docs: DataFrame, path: str = "path", text: str = "text", size:
     )
 
 
+def newline_pieces(text: str, size: int) -> list[str]:
+    """Pieces of at most size characters of one text, found in one walk."""
+    at, out = 0, []
+    while len(text) - at > size:
+        line_end = text.rfind("\n", at, at + size)
+        stop = line_end + 1 if line_end - at > size // 2 else at + size
+        out.append(text[at:stop])
+        at = stop
+    return [*out, text[at:]]
+
+
 def split_at_newlines(text: Column, size: int) -> Column:
-    """Pieces of at most size characters; a cut goes behind the last newline of the second half, if there is one."""
-    half = size // 2
-
-    def step(acc: Column, _: Column) -> Column:
-        rest = F.substring(text, acc["at"] + 1, F.lit(size))
-        back = F.locate("\n", F.reverse(rest))  # 1 for the last character
-        last = F.lit(size) - back  # 0-based place of the last newline in a full window
-        length = F.when(F.length(text) - acc["at"] <= size, F.length(rest)).when((back > 0) & (last > half), last + 1).otherwise(F.lit(size))
-        more = F.length(rest) > 0
-        return F.struct((acc["at"] + F.when(more, length).otherwise(F.lit(0))).alias("at"), F.when(more, F.concat(acc["pieces"], F.array(F.substring(rest, F.lit(1), length)))).otherwise(acc["pieces"]).alias("pieces"))
-
-    rounds = F.sequence(F.lit(1), F.greatest(F.lit(1), F.ceil(F.length(text) / (half + 2)).cast("int")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("pieces"))
-    return F.when(F.length(text) <= size, F.array(text)).otherwise(F.aggregate(rounds, start, step, lambda acc: acc["pieces"]))
+    """Pieces of at most size characters; a cut goes behind the last newline of the second half, if there is one.
+
+    Texts within the size stay in the JVM; longer ones go through Arrow, as a fold over an array would be quadratic.
+    """
+    long = F.pandas_udf(lambda s: s.map(lambda t: None if t is None else newline_pieces(t, size)), "array<string>")
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(long(F.when(F.length(text) > size, text)))
 
 
 def chunk_headings(docs: DataFrame, path: str = "path", text: str = "text", size: int = WINDOW) -> DataFrame:

@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import fnmatch
-import posixpath
-import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +12,8 @@ from ragloom.functions.text import extension
 # The extensions of code and of documents.
 CODE_EXTENSIONS = [".c", ".cc", ".cpp", ".cxx", ".h", ".hpp", ".hh", ".hxx"]
 DOC_EXTENSIONS = [".pdf", ".docx", ".md", ".markdown", ".txt"]
+#: Roots of a registry that are matched by an expression.
+ROOTS = 200
 
 
 def _matches(name: Column, patterns: list[str], globs: list[str]) -> Column:
@@ -44,18 +44,29 @@ def encode_paths(files: DataFrame, roots: DataFrame, path: str = "path", out: st
     """out = /<root's name in small letters>/<path below the root> for the longest root that holds the path.
 
     The root itself becomes /<name>/. ; a path under no root stays as it is; /a/bc is not below /a/b.
-    Roots (columns name, root) are a registry. The match is an equi-join of the path's prefixes with
-    the roots, so that neither side is crossed with the other. Null paths stay null.
+    Roots (columns name, root) are a registry. One of at most ROOTS is sent to the workers and matched by
+    an expression without a shuffle; beyond that the path's prefixes are joined with the roots. Null
+    paths stay null.
     """
     clean = F.regexp_replace(F.regexp_replace(F.col(path), "/{2,}", "/"), "(?<=.)/$", "")
     clean = F.when(clean.rlike(r"(^|/)\.\.?(/|$)"), normalise(clean)).otherwise(clean)
-    rows = files.withColumn("_rl_id", F.monotonically_increasing_id()).withColumn("_rl_p", clean)
-    ups = rows.select("_rl_id", "_rl_p", F.explode(F.expr("transform(sequence(1, size(split(_rl_p, '/'))), k -> concat_ws('/', slice(split(_rl_p, '/'), 1, k)))")).alias("_rl_up"))
-    named = roots.select(F.lower("name").alias("_rl_name"), F.regexp_replace("root", "(?<=.)/+$", "").alias("_rl_up")).dropDuplicates(["_rl_up"])
-    best = ups.join(named, "_rl_up").groupBy("_rl_id").agg(F.max_by(F.struct("_rl_name", "_rl_up"), F.length("_rl_up")).alias("_rl_b"))
+    rows = files.withColumn("_rl_p", clean)
+    named = roots.select(F.lower("name").alias("_rl_name"), F.regexp_replace("root", "(?<=.)/+$", "").alias("_rl_up")).where("_rl_up IS NOT NULL").groupBy("_rl_up").agg(F.min("_rl_name").alias("_rl_name"))
+    few = named.limit(ROOTS + 1).collect()
+    if len(few) <= ROOTS:
+        best = F.lit(None).cast("struct<_rl_name:string,_rl_up:string>")
+        for r in sorted(few, key=lambda r: len(r._rl_up)):  # the longest is asked first
+            holds = (F.col("_rl_p") == r._rl_up) | F.startswith(F.col("_rl_p"), F.lit(r._rl_up.rstrip("/") + "/"))
+            best = F.when(holds, F.struct(F.lit(r._rl_name).alias("_rl_name"), F.lit(r._rl_up).alias("_rl_up"))).otherwise(best)
+        found = rows.withColumn("_rl_b", best)
+    else:
+        ups = F.expr("transform(sequence(1, size(split(_rl_p, '/'))), k -> concat_ws('/', slice(split(_rl_p, '/'), 1, k)))")
+        paths = rows.select("_rl_p").distinct()
+        near = paths.select("_rl_p", F.explode(ups).alias("_rl_up")).where("_rl_up <> ''").join(named, "_rl_up").groupBy("_rl_p").agg(F.max_by(F.struct("_rl_name", "_rl_up"), F.length("_rl_up")).alias("_rl_b"))
+        found = rows.join(near, "_rl_p", "left")
     rest = F.substring(F.col("_rl_p"), F.length("_rl_b._rl_up") + 2, F.length("_rl_p"))
     coded = F.concat(F.lit("/"), F.col("_rl_b._rl_name"), F.lit("/"), F.when(rest == "", ".").otherwise(rest))
-    return rows.join(best, "_rl_id", "left").withColumn(out, F.when(F.col("_rl_b").isNotNull(), coded).otherwise(F.col(path))).drop("_rl_id", "_rl_p", "_rl_b")
+    return found.withColumn(out, F.when(F.col("_rl_b").isNotNull(), coded).otherwise(F.col(path))).drop("_rl_p", "_rl_b")
 
 
 def normalise(path: Column) -> Column:
@@ -75,16 +86,6 @@ def collection_types(rows: DataFrame, registry: DataFrame, collection: str = "co
     return rows.withColumn("_rl_n", F.upper(F.trim(F.col(collection)))).join(types, "_rl_n", "left").withColumn(out, F.coalesce("_rl_t", F.lit("UNKNOWN"))).drop("_rl_n", "_rl_t")
 
 
-def encode_path(path: str, roots: dict[str, str]) -> str:
-    """The same for one path, for drivers of small tools."""
-    clean = posixpath.normpath(path)
-    for name, root in sorted(roots.items(), key=lambda x: -len(x[1])):
-        root = posixpath.normpath(root)
-        if clean == root or clean.startswith(root.rstrip("/") + "/"):
-            return f"/{name.lower()}/{re.sub('^/', '', clean[len(root) :]) or '.'}"
-    return path
-
-
 def keep_first(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by order; ties keep one, null keys are one key."""
     w = Window.partitionBy(key).orderBy(order)

@@ -7,7 +7,7 @@ position and id.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from ragloom.functions import text as T
 
 DEFAULT_K, SNIPPETS, CONTEXT_TOKENS, CANDIDATES = 5, 10, 16000, 30
-#: Rows of a block of queries that a worker compares with a batch of vectors at a time.
-QUERY_BLOCK = 4096
+#: Bytes of the queries a worker compares with a batch of vectors at a time; more are cut into blocks.
+QUERY_BYTES = 16 << 20
 
 
 def score_of_distance(d: Column) -> Column:
@@ -26,66 +26,113 @@ def score_of_distance(d: Column) -> Column:
     return F.coalesce(F.when(d < 2, 1 - d).otherwise(F.greatest(F.lit(0.0), 1 / (1 + d / 50))), F.lit(0.0))
 
 
+def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """length -> (rows, unit vectors) of a list column; null vectors are left out, no value becomes a Python object."""
+    sizes = np.asarray(column.value_lengths().fill_null(-1))
+    values = np.asarray(column.flatten(), dtype=np.float64)
+    ends = np.cumsum(np.maximum(sizes, 0))
+    out = {}
+    for n in np.unique(sizes[sizes > 0]).tolist():
+        rows = np.flatnonzero(sizes == n)
+        out[n] = rows, _unit(values[(ends[rows] - n)[:, None] + np.arange(n)])
+    return out
+
+
+def _best(score: np.ndarray, names: np.ndarray, top: int, per_collection: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(query, vector) places of the top rounded scores of each query (and collection), ties with the last one included."""
+    for name in np.unique(names) if per_collection else [None]:
+        own = np.flatnonzero(names == name) if per_collection else np.arange(score.shape[1])
+        part = score[:, own]
+        edge = np.partition(part, -top, axis=1)[:, -top][:, None] if part.shape[1] > top else -np.inf
+        q, c = np.nonzero((part >= edge) & (part > -np.inf))
+        yield q, own[c]
+
+
+_PAIR = "qid long, vec_id long, collection string, score double"
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, per_collection: bool = True, exclude_self: bool = True, limits: dict[str, int] | None = None) -> DataFrame:
     """(qid, vec_id, collection, score, rank): exact cosine neighbours of each query, k for each collection.
 
-    queries has qid and embedding, vectors vec_id, embedding and collection; null or zero vectors have
-    distance null and score 0; queries of another length than a vector don't meet it. The queries are
-    sent to the workers in blocks of QUERY_BLOCK, each block meets all vectors, every batch keeps its
-    own best k of each query and collection, and only those are shuffled; so neither the queries nor
-    the pairs are ever in one place. limits gives other k by collection.
+    queries has qid and embedding, vectors vec_id, embedding and collection. Null vectors, and those of
+    another length than a query's, don't meet it; zero vectors have score 0. Scores are rounded to six
+    places before they are compared, and ties go to the smallest vec_id, so that no partitioning
+    changes the answer. A null collection is a collection of its own.
+
+    The queries are a stated set. If it has at most QUERY_BYTES it is broadcast once and each batch of
+    vectors is compared with it; a larger one is cut into blocks by a hash of qid, the vectors are copied to
+    each of them, and a block meets its copy batch by batch: no stage collects queries or vectors.
+    Every batch keeps its own best of each query and collection (with ties), and only those are
+    shuffled. limits gives other k by collection.
     """
     top = max([k, *(limits or {}).values()])
     spark = vectors.sparkSession
-    rows = queries.where("qid IS NOT NULL AND embedding IS NOT NULL").select("qid", "embedding")
-    stored = vectors.where("vec_id IS NOT NULL").select(F.col("vec_id").cast("long"), F.col("collection").cast("string"), "embedding")
-    schema = "qid long, vec_id long, collection string, score double"
-    parts, block = [], []
-
-    def meet(block: list) -> DataFrame:
-        sent = spark.sparkContext.broadcast((np.array([r[0] for r in block], dtype=np.int64), [r[1] for r in block]))
+    asked = queries.where("qid IS NOT NULL AND embedding IS NOT NULL").select(F.col("qid").cast("long").alias("qid"), "embedding")
+    stored = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").select(F.col("vec_id").cast("long").alias("vec_id"), F.col("collection").cast("string").alias("collection"), "embedding")
+
+    def compare(known: dict[int, tuple[np.ndarray, np.ndarray]], batch: pa.RecordBatch) -> pa.RecordBatch:
+        """known: length -> (qids, unit vectors)."""
+        vec_ids = batch.column(0).to_numpy(zero_copy_only=False)
+        names = np.array([("=" + c) if c is not None else "" for c in batch.column(1).to_pylist()], dtype=str)
+        out: list[list] = [[], [], [], []]
+        for n, (rows, unit) in _matrix(batch.column(2)).items():
+            if n not in known:
+                continue
+            qids, asked_unit = known[n]
+            score = np.nan_to_num(asked_unit @ unit.T, nan=0.0)
+            score = np.round(np.where(score > -1, score, 1 / (1 + (1 - score) / 50)), 6) + 0.0
+            if exclude_self:
+                score[qids[:, None] == vec_ids[rows][None, :]] = -np.inf
+            for q, c in _best(score, names[rows], top, per_collection):
+                out[0].append(qids[q])
+                out[1].append(vec_ids[rows][c])
+                out[2].append(names[rows][c])
+                out[3].append(score[q, c])
+        join = lambda parts, kind: np.concatenate(parts) if parts else np.zeros(0, kind)
+        said = join(out[2], "U1")
+        return pa.RecordBatch.from_arrays([pa.array(join(out[0], np.int64)), pa.array(join(out[1], np.int64)), pa.array([x[1:] if x else None for x in said.tolist()], pa.string()), pa.array(join(out[3], float))], names=["qid", "vec_id", "collection", "score"])
+
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("embedding") + 8), F.lit(0))).first()[0]
+    if size <= QUERY_BYTES:
+        rows = asked.toArrow().combine_chunks()
+        sent = spark.sparkContext.broadcast(_known(rows.column(0).combine_chunks(), rows.column(1).combine_chunks()) if len(rows) else {})
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ids, raw = sent.value
-            by_size: dict[int, list[int]] = {}
-            for i, v in enumerate(raw):
-                by_size.setdefault(len(v), []).append(i)
-            units = {n: (ids[at], _unit(np.array([raw[i] for i in at], dtype=np.float64))) for n, at in by_size.items()}
             for batch in batches:
-                vec_ids, names = batch.column(0).to_numpy(zero_copy_only=False), np.array([c if c is not None else "" for c in batch.column(1).to_pylist()], dtype=object)
-                vecs = batch.column(2).to_pylist()
-                out: list[tuple] = []
-                for n, (qids, unit) in units.items():
-                    at = np.array([i for i, v in enumerate(vecs) if v is not None and len(v) == n], dtype=np.int64)
-                    if not len(at):
+                yield compare(sent.value, batch)
+
+        found = stored.mapInArrow(run, _PAIR)
+    else:
+        blocks = int(-(-size // QUERY_BYTES))
+        width = max(blocks, spark.sparkContext.defaultParallelism)
+        share = -(-width // blocks)  # tasks of a block
+        place = F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int")
+        left = asked.select(place.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(share - 1))).alias("part"), F.lit(0).alias("side"), F.col("qid").alias("id"), F.lit(None).cast("string").alias("collection"), "embedding")
+        right = stored.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(share)).cast("int").alias("part"), F.lit(1).alias("side"), F.col("vec_id").alias("id"), "collection", "embedding")
+        # a partition may hold several (block, part); within each the queries come first
+        laid = left.unionByName(right).repartition(blocks * share, "block", "part").sortWithinPartitions("block", "part", "side")
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            at, pending, known = None, [], {}
+            for batch in batches:
+                key = np.asarray(batch.column(0)).astype(np.int64) * (1 << 31) + np.asarray(batch.column(1))
+                side = np.asarray(batch.column(2))
+                steps = np.flatnonzero(np.diff(key) | np.diff(side)) + 1
+                for a, b in zip([0, *steps.tolist()], [*steps.tolist(), len(key)]):
+                    rows = batch.slice(a, b - a)
+                    if key[a] != at:
+                        at, pending, known = key[a], [], None
+                    if side[a] == 0:
+                        pending.append(rows)
+                        known = None
                         continue
-                    score = unit @ _unit(np.array([vecs[i] for i in at], dtype=np.float64)).T
-                    score = np.where(1 - score < 2, score, np.maximum(0, 1 / (1 + (1 - score) / 50)))
-                    score[np.isnan(score)] = 0.0
-                    if exclude_self:
-                        score[qids[:, None] == vec_ids[at][None, :]] = -np.inf
-                    for name in set(names[at].tolist()) if per_collection else [None]:
-                        own = np.flatnonzero(names[at] == name) if per_collection else np.arange(len(at))
-                        part = score[:, own]
-                        edge = np.partition(part, -top, axis=1)[:, -top][:, None] - 1e-9 if part.shape[1] > top else -np.inf
-                        q, c = np.nonzero((part >= edge) & (part > -np.inf))
-                        out += zip(qids[q].tolist(), vec_ids[at][own][c].tolist(), names[at][own][c].tolist(), part[q, c].tolist())
-                columns = list(zip(*out)) if out else [()] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.string(), pa.float64()))], names=["qid", "vec_id", "collection", "score"])
-
-        return stored.mapInArrow(run, schema)
-
-    for r in rows.toLocalIterator():
-        block.append((r[0], r[1]))
-        if len(block) == QUERY_BLOCK:
-            parts.append(meet(block))
-            block = []
-    if block or not parts:
-        parts.append(meet(block))
-    found = parts[0]
-    for p in parts[1:]:
-        found = found.unionByName(p)
-    w = Window.partitionBy("qid", *(["collection"] if per_collection else [])).orderBy(F.round("score", 6).desc(), "vec_id")
+                    if known is None:
+                        whole = pa.Table.from_batches(pending).combine_chunks() if pending else None
+                        known = _known(whole.column(3).combine_chunks(), whole.column(5).combine_chunks()) if whole else {}
+                    yield compare(known, rows.select([3, 4, 5]))
+
+        found = laid.mapInArrow(meet, _PAIR)
+    w = Window.partitionBy("qid", *(["collection"] if per_collection else [])).orderBy(F.col("score").desc(), "vec_id")
     limit = F.lit(k)
     for name, n in (limits or {}).items():
         limit = F.when(F.col("collection") == name, F.lit(n)).otherwise(limit)
@@ -93,6 +140,11 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = DEFAULT_K, per_coll
     return ranked.where(F.col("rank") <= limit) if limits else ranked
 
 
+def _known(qids: pa.Array, embeddings: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    ids = qids.to_numpy(zero_copy_only=False)
+    return {n: (ids[rows], unit) for n, (rows, unit) in _matrix(embeddings).items()}
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     with np.errstate(invalid="ignore", divide="ignore"):
         return m / np.linalg.norm(m, axis=1, keepdims=True)
@@ -150,6 +202,38 @@ def diversify(candidates: DataFrame, k: int, weight: float = 0.5) -> DataFrame:
     return lists.select("qid", "c", F.posexplode(F.expr(order)).alias("place", "i")).select("qid", F.expr("get(c, i).id").alias("id"), (F.col("place") + 1).alias("place"))
 
 
+#: Characters of a candidate's text that the scorer sees.
+SCORED_CHARS = 512 * 4
+RERANK = "Rate from 0 to 1 how well each document answers the question. Reply with a JSON list of objects with id and score only."
+
+
+def scorer_requests(questions: DataFrame, fused: DataFrame, candidates: int = CANDIDATES, chars: int = SCORED_CHARS, instruction: str = RERANK) -> DataFrame:
+    """(qid, request): the scorer's messages as JSON, with the first candidates (id and cut text) of each question."""
+    first = fused.where(F.col("fused_pos") <= candidates)
+    shown = F.struct("fused_pos", "id", F.left(F.coalesce("document", F.lit("")), F.lit(chars)).alias("text"))
+    lists = first.groupBy("qid").agg(F.array_sort(F.collect_list(shown)).alias("c"))  # candidates of one question, capped
+    documents = F.to_json(F.transform("c", lambda x: F.struct(x["id"].alias("id"), x["text"].alias("text"))))
+    said = F.concat(F.lit("QUESTION:\n"), F.coalesce("text", F.lit("")), F.lit("\n\nDOCUMENTS:\n"), documents)
+    both = F.array(F.struct(F.lit("system").alias("role"), F.lit(instruction).alias("content")), F.struct(F.lit("user").alias("role"), said.alias("content")))
+    return lists.join(questions.select("qid", "text"), "qid").select("qid", F.to_json(both).alias("request"))
+
+
+def replies(requests: DataFrame, scorer: Callable[[str], str]) -> DataFrame:
+    """(qid, reply) of a scorer that gets each request's JSON; a call that fails has a null reply."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for request in batch.column(1).to_pylist():
+                try:
+                    out.append(scorer(request))
+                except Exception:  # noqa: BLE001 - without a reply the order stays
+                    out.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["qid", "reply"])
+
+    return requests.select(F.col("qid").cast("long"), "request").mapInArrow(run, "qid long, reply string")
+
+
 def parse_reply(reply: str | None) -> list[tuple[str, float]] | None:
     """(id, score) of a scorer's reply: a JSON list of objects with an id; None for anything else."""
     try:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import hashlib
+import json
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ragloom.functions import text as T
-from ragloom.operators import admin, chunkers, code_chunks, ingest, paths, retrieval, sessions
+from ragloom.operators import admin, chunkers, code_chunks, ingest, paths, pipeline, retrieval, sessions
 from ragloom.runtime import table
 
 _WS = "".join(f"chr({ord(c)})||" for c in T.WHITESPACE)[:-2]
@@ -200,17 +203,6 @@ def chunk_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkers.chunk_windows(_docs(spark, sf_dir)).select("id", "file_path", "start_char", "end_char")
 
 
-@_query(f"""
-WITH ws AS (SELECT {_WS} AS ws), b AS (
-  SELECT path, unnest(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))) AS raw, unnest(range(len(string_split(regexp_replace(text, '(?m)^#', chr(1) || '#', 'g'), chr(1))))) AS block_index FROM {_DOCS} WHERE text IS NOT NULL)
-SELECT path AS file_path, block_index::INT AS block_index, md5(trim(raw, ws)) AS block_hash FROM b, ws WHERE length(trim(raw, ws)) BETWEEN 1 AND 2000""")
-def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Heading blocks of up to 2000 characters only, as its SQL has them; chunk_markdown_pieces gives all blocks."""
-    rows = chunkers.chunk_headings(_docs(spark, sf_dir))
-    whole = rows.groupBy("file_path", "block_index").agg(F.count("*").alias("n"), F.max("text").alias("text")).where("n = 1")
-    return whole.select("file_path", "block_index", F.md5(F.col("text").cast("binary")).alias("block_hash"))
-
-
 @_query(f"""
 WITH ws AS (SELECT {_WS} AS ws), d AS (SELECT path, page_number, trim(array_to_string(list_transform(lines, lambda x: coalesce(x, '')), chr(10)), ws) AS t FROM pdf_page, ws WHERE lines IS NOT NULL),
 w AS (SELECT path, page_number, s AS start_char, trim(substring(t, s + 1, 700), ws) AS piece FROM (SELECT path, page_number, t, unnest(range(0, length(t), 600)) AS s FROM d WHERE length(t) > 0), ws)
@@ -233,9 +225,9 @@ s AS (
 """
 
 
-@_query(_SPLIT_SQL.format(key="doc_id", table="documents", size=1000) + "SELECT k AS doc_id, (n - 1)::INT AS piece, md5(piece) AS piece_hash FROM s WHERE n > 0")
+@_query(_SPLIT_SQL.format(key="doc_id", table="documents", size=1000) + "SELECT k AS doc_id, (n - 1)::INT AS piece, md5(piece) AS piece_hash FROM s WHERE n > 0 UNION ALL SELECT doc_id, 0, md5(text) FROM documents WHERE length(text) <= 1000")
 def split_newline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").where(F.length("text") > 1000)
+    rows = table(spark, sf_dir, "documents")
     return rows.select("doc_id", F.posexplode(chunkers.split_at_newlines(F.col("text"), 1000)).alias("piece", "t")).select("doc_id", "piece", F.md5(F.col("t").cast("binary")).alias("piece_hash"))
 
 
@@ -247,7 +239,7 @@ _BLOCKS = f"""(WITH b AS (
 @_query(_SPLIT_SQL.format(key="{'path': path, 'block': block_index}", table=_BLOCKS, size=2000) + f"""
 SELECT k.path AS file_path, k.block::INT AS block_index, (n - 1)::INT AS piece_index, md5(piece) AS piece_hash FROM s WHERE n > 0
 UNION ALL SELECT path, block_index::INT, 0, md5(text) FROM {_BLOCKS} WHERE length(text) BETWEEN 1 AND 2000""")
-def chunk_markdown_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pieces of all heading blocks; blocks above 2000 characters are split at newlines."""
     return chunkers.chunk_headings(_docs(spark, sf_dir)).select("file_path", "block_index", "piece_index", F.md5(F.col("text").cast("binary")).alias("piece_hash"))
 
@@ -314,9 +306,19 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query()
+_LINKED = "'[' || coalesce(title, '') || ' ](' || coalesce(url, 'u') || ') [/repo/' || doc_id || '](x) [ ](/a/b) [ same](same) [kept](/src/' || doc_id || '.c) [] () ' || text"
+_LINK = r"'\[([^\]]+)\]\(([^)]+)\)'"
+
+
+@_query(f"""WITH ws AS (SELECT {_WS} AS ws), d AS (SELECT doc_id, {_LINKED} AS t FROM documents WHERE text IS NOT NULL),
+p AS (SELECT doc_id, ws, string_split_regex(t, {_LINK}) AS b, regexp_extract_all(t, {_LINK}) AS f, list_transform(regexp_extract_all(t, {_LINK}, 1), lambda x: trim(x, ws)) AS s, regexp_extract_all(t, {_LINK}, 2) AS u FROM d, ws)
+SELECT doc_id, len(f) AS links, md5(array_to_string(list_transform(range(1, len(b) + 1), lambda i: b[i] || coalesce(
+  CASE WHEN s[i] = trim(u[i], ws) THEN f[i] WHEN starts_with(u[i], '/') THEN '[' || CASE WHEN s[i] = '' THEN u[i] ELSE s[i] END || '](' || u[i] || ')' WHEN starts_with(s[i], '/') THEN '[' || s[i] || '](' || s[i] || ')' ELSE f[i] END, '')), '')) AS said FROM p""")
 def link_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.normalise_links(F.col("text")).alias("text"))
+    """The whole texts, with links of each kind before them, as few have any."""
+    linked = F.expr(_LINKED)
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", linked.alias("t"))
+    return rows.select("doc_id", F.size(F.regexp_extract_all("t", F.lit(_LINK[1:-1]), F.lit(0))).cast("long").alias("links"), F.md5(T.normalise_links(F.col("t")).cast("binary")).alias("said"))
 
 
 @_query("""WITH r AS (SELECT lower(name) AS name, root FROM registry),
@@ -409,25 +411,50 @@ def stream_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.answers(deltas).select("session_id", F.md5(F.col("content").cast("binary")).alias("content_hash"))
 
 
-@_query(f"SELECT session_id, count(*) AS n FROM {_MESSAGES} GROUP BY session_id HAVING count(*) > 1")
+@_query(f"SELECT session_id, count(*) AS n, md5(string_agg(coalesce(role, '') || ':' || coalesce(content, ''), chr(10) ORDER BY turn)) AS said FROM {_MESSAGES} GROUP BY session_id HAVING count(*) > 1")
 def chat_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages in each session's JSON document."""
+    """Number and content of the messages in each session's JSON document."""
     docs = sessions.chat_documents(_messages(spark, sf_dir))
     parsed = F.from_json("document", "session_id bigint, messages array<struct<role:string,content:string>>")
-    return docs.select("session_id", F.size(parsed["messages"]).cast("long").alias("n"))
+    said = F.array_join(F.transform(parsed["messages"], lambda m: F.concat(F.coalesce(m["role"], F.lit("")), F.lit(":"), F.coalesce(m["content"], F.lit("")))), "\n")
+    return docs.select("session_id", F.size(parsed["messages"]).cast("long").alias("n"), F.md5(said.cast("binary")).alias("said"))
 
 
-@_query("""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type = 'purchase' AS forced, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events WHERE user_id IS NOT NULL),
-s AS (SELECT user_id, event_id, n, 's' || event_id AS resolved FROM e WHERE n = 1
-  UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN forced THEN 's' || e.event_id ELSE s.resolved END FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1)
+@_query("""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, event_type = 'purchase' AS forced, row_number() OVER w AS n, CASE WHEN event_id % 3 = 0 THEN 's' || (event_id - event_id % 7) WHEN event_id % 3 = 1 THEN 's' || lag(event_id, 2) OVER w END AS asked
+  FROM events WHERE user_id IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT user_id, event_id, n, 's' || event_id AS resolved, ['s' || event_id] AS own FROM e WHERE n = 1
+  UNION ALL SELECT user_id, event_id, n, r, list_append(own, r) FROM (
+    SELECT e.user_id, e.event_id, e.n, s.own, CASE WHEN coalesce(list_contains(s.own, e.asked), false) THEN e.asked WHEN forced THEN 's' || e.event_id ELSE s.resolved END AS r FROM s JOIN e ON e.user_id = s.user_id AND e.n = s.n + 1))
 SELECT user_id::VARCHAR AS username, event_id AS seq, resolved FROM s""")
 def session_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Purchases force a new session; no request names one."""
+    """Purchases force a new session; some requests name an earlier one, or one that the user never had."""
     rows = table(spark, sf_dir, "events").where("user_id IS NOT NULL")
-    requests = rows.select(F.col("user_id").cast("string").alias("username"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("asked"), (F.col("event_type") == "purchase").alias("force_new"), F.concat(F.lit("s"), "event_id").alias("fresh"))
+    before = F.lag("event_id", 2).over(Window.partitionBy("user_id").orderBy("event_id"))
+    asked = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("s"), F.col("event_id") - F.col("event_id") % 7)).when(F.col("event_id") % 3 == 1, F.concat(F.lit("s"), before))
+    requests = rows.select(F.col("user_id").cast("string").alias("username"), F.col("event_id").alias("seq"), asked.alias("asked"), (F.col("event_type") == "purchase").alias("force_new"), F.concat(F.lit("s"), "event_id").alias("fresh"))
     return sessions.resolve(requests)
 
 
+def ask_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question asked end to end over the embedded items of doc_chunk, of a model that names its prompt's hash."""
+    items = table(spark, sf_dir, "doc_chunk").where("id IS NOT NULL AND text IS NOT NULL").withColumn("collection", F.upper(F.trim("collection")))
+    store = ingest.embed(paths.keep_first(items, "id", "seq").select("id", "text", "file_path", "collection"))
+
+    def model(request: str):
+        yield "The prompt is "
+        yield hashlib.md5(request.encode("utf-8", "surrogatepass")).hexdigest()
+
+    def scorer(request: str) -> str:
+        shown = json.loads(json.loads(request)[1]["content"].split("DOCUMENTS:\n", 1)[1])
+        return json.dumps([{"id": d["id"], "score": len(d["text"])} for d in shown])
+
+    return pipeline.ask(table(spark, sf_dir, "question").select("qid", "text"), store, model, mode="rerank", scorer=scorer).select("qid", "answer", "error")
+
+
+QUERIES["ask_answers"] = ask_answers
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions to context rows: neighbours of each collection, fusion, cap, labels, packing."""
     near = retrieval.nearest(_questions(spark, sf_dir), _vectors(spark, sf_dir))

@@ -20,7 +20,7 @@ def ingest_files(spark: SparkSession, source: str, schema: str, store: str, chec
     """
 
     def accept(batch: DataFrame, _: int) -> None:
-        ingest.update(chunk(batch), store).unpersist()
+        ingest.update(chunk(batch), store)
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(accept)
     return (stream.trigger(availableNow=True) if trigger_once else stream).start()

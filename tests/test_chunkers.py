@@ -69,7 +69,7 @@ def test_all_pieces_of_long_blocks_come_out(spark, tmp_path):
     prose = lambda n: "".join(rng.choice("abc \n😀") for _ in range(n))
     texts = ["# a\n" + prose(7000) + "\n## b\n" + prose(300), prose(2500), "x" * 4001, "#\n#\n" + prose(2000), " \n", "", None]
     spark.createDataFrame([(k, "s", t) for k, t in enumerate(texts)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = [tuple(r) for r in reference_queries.QUERIES["chunk_markdown_pieces"](spark, str(tmp_path)).collect()]
+    got = [tuple(r) for r in reference_queries.QUERIES["chunk_markdown"](spark, str(tmp_path)).collect()]
     want = []
     for k, text in enumerate(texts):
         for i, raw in enumerate(re.split("(?m)^(?=#)", text or "")):

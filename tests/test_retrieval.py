@@ -91,16 +91,153 @@ def test_retries():
 
     assert ingest.with_retries(flaky, "abc", slept.append) == [1.0] and slept == [0.2, 0.4]
 
-    def short(text):
-        if len(text) > 4000:
-            raise ingest.Unavailable
-        return [float(len(text))]
-
-    assert ingest.with_retries(short, "x" * 6000, slept.append) == [3000.0]
     with pytest.raises(ingest.Unavailable):
         ingest.with_retries(lambda t: (_ for _ in ()).throw(ingest.Unavailable()), "x", slept.append)
 
 
+def _by_value(f):
+    """A maker of f that does not name this module, which workers cannot import."""
+    import types
+
+    copy = types.FunctionType(f.__code__, {"ingest": ingest, "__builtins__": __builtins__, "__name__": "__main__"}, f.__name__)
+    copy.__module__ = "__main__"
+    make = types.FunctionType((lambda: copy).__code__, {"__name__": "__main__"}, "make", None, (types.CellType(copy),))
+    make.__module__ = "__main__"
+    return make
+
+
+def _short(text):  # sent to workers by value only, as the tests are no package there
+    if len(text) > 4500:
+        raise ingest.Unavailable("too long")
+    if "poison" in text:
+        raise ValueError("no")
+    return [float(len(text))]
+
+
+def test_failures_are_split_into_records(monkeypatch):
+    monkeypatch.setattr(ingest, "FIRST_DELAY", 0)
+    text = ("x" * 99 + "\n") * 90
+    got = ingest.embedded_records(_short, "id", text, sleep=lambda s: None)
+    assert "".join(t for _, t, _, _ in got) == text and all(e is None and v == [float(len(t))] for _, t, v, e in got)
+    assert [i.split("_")[0] for i, *_ in got] == ["id#split0", "id#split1"] and all(len(t) <= 4500 for _, t, _, _ in got)
+    deep = ingest.embedded_records(_short, "id", text + text[:500], sleep=lambda s: None)
+    assert "".join(t for _, t, _, _ in deep) == text + text[:500] and deep[0][0].count("#split") == 2 and deep[-1][3] is None
+    assert ingest.embedded_records(_short, "id", "a poison", sleep=lambda s: None) == [("id", "a poison", None, "ValueError: no")]
+    broken = ingest.embedded_records(lambda t: (_ for _ in ()).throw(ingest.Unavailable("down")), "id", "abc", sleep=lambda s: None)
+    assert broken == [("id", "abc", None, "Unavailable: down")]
+
+
+def test_update_stores_what_it_could_embed(spark, tmp_path):
+    path = str(tmp_path / "store")
+    S = "seq long, id string, text string, file_path string, collection string"
+    chunks = spark.createDataFrame([(1, "a", "good", "/f", "D"), (2, "b", "poison", "/f", "D"), (3, "c", "y" * 4400, "/f", "D")], S)
+    with pytest.raises(ingest.NotAllEmbedded):
+        ingest.update(chunks, path, make=_by_value(_short))
+    assert sorted(r.id for r in ingest.open_store(spark, path).collect()) == ["a", "c"]
+
+
+def test_nearest_is_the_same_for_any_partitioning(spark, monkeypatch):
+    rng = random.Random(2)
+    base = [rng.uniform(-1, 1) for _ in range(6)]
+    vecs = [(k, rng.choice(["A", "B", None]), [x * (1 + 1e-9 * (k % 7)) + 1e-9 * rng.random() for x in base] if k % 3 else [rng.uniform(-1, 1) for _ in range(6)]) for k in range(90)] + [(90, "A", None), (91, "A", [0.0] * 6), (92, "A", [1.0])]
+    V = spark.createDataFrame(vecs, "vec_id long, collection string, embedding array<double>")
+    Q = V.where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), "embedding")
+    read = lambda n: sorted((r.qid, r.collection or "", r.rank, r.vec_id, r.score) for r in retrieval.nearest(Q, V.repartition(n), k=3).collect())
+    want = read(1)
+    assert read(4) == want and read(16) == want
+    for size in (1, 200):
+        monkeypatch.setattr(retrieval, "QUERY_BYTES", size)
+        assert read(5) == want
+
+
+def _model(request):
+    yield "see [/a/b](x) "
+    if "fail" in request:
+        raise OSError("gone")
+    yield "done"
+
+
+def test_ask(spark):
+    from ragloom.operators import pipeline
+
+    rows = [(f"i{k}", f"pump gear number {k}", f"/d/{k}.md", "AB"[k % 2]) for k in range(30)] + [(None, None, None, "A")]
+    store = ingest.embed(spark.createDataFrame(rows, "id string, text string, file_path string, collection string").where("id IS NOT NULL"))
+    questions = spark.createDataFrame([(1, "pump gear"), (2, "fail gear"), (3, None)], "qid long, text string")
+    scorer = lambda request: '[{"id": "i7", "score": 1}]'
+    for mode in ("cap", "rerank", "mmr"):
+        got = {r.qid: (r.answer, r.error) for r in pipeline.ask(questions, store, _by_value(_model)(), mode=mode, scorer=scorer).collect()}
+        assert got[1] == ("see [/a/b](/a/b) done", None) and got[2] == ("see [/a/b](/a/b) ", "OSError: gone")
+    with pytest.raises(ValueError):
+        pipeline.choose(questions, store, "best")
+    hits = retrieval.fuse_by_score(retrieval.positions(pipeline.retrieve(questions, store)))
+    third = hits.where("qid = 1 AND fused_pos = 3").first().id
+    first = pipeline.choose(questions, hits, "rerank", scorer=lambda r: '[{"id": "%s", "score": 2}]' % third)
+    assert first.where("qid = 1 AND fused_pos = 1").first().id == third
+
+
+def test_completion_hook_and_events(spark):
+    from ragloom.operators import pipeline
+
+    history = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "old?")], "session_id long, turn int, role string, content string")
+    turns = spark.createDataFrame([(1, "new?"), (2, "none?")], "session_id long, question string")
+    deltas = spark.createDataFrame([(1, 1, "b"), (1, 0, "[/x](y)")], "session_id long, seq int, delta string")
+    got = [(r.turn, r.role, r.content) for r in pipeline.finish(history, turns, deltas).orderBy("turn").collect()]
+    assert got == [(0, "system", "s"), (1, "user", "new?"), (2, "assistant", "[/x](/x)b")]
+    read = [(r.kind, r.value) for r in pipeline.parse_events(sessions.frames(deltas)).orderBy("place").collect()]
+    assert read == [("content", "[/x](y)"), ("content", "b"), ("normalised", "[/x](/x)b"), ("done", None)]
+
+
+def test_all_collections(spark, tmp_path):
+    from ragloom.sources import collections
+
+    for name, text in {"d/a.md": "# T\nbody", "d/b.txt": "plain text", "d/c.pdf": "p1|l2", "d/bad.docx": "no zip", "s/f.c": "int f(void)\n{\n    return 1;\n}\n"}.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    registry = [("Docs", str(tmp_path / "d"), "doc"), ("Api", str(tmp_path / "s"), "SRC"), ("None", str(tmp_path / "d"), "other")]
+    reader = lambda content: [p.split("|") for p in content.decode().split("\f")]
+    store = str(tmp_path / "store")
+    got = collections.update_all(spark, registry, store, reader=reader)
+    assert sorted({(r.collection, r.file_path) for r in got.collect()}) == [("API", "/api/f.c"), ("DOCS", "/docs/a.md"), ("DOCS", "/docs/b.txt"), ("DOCS", "/docs/c.pdf")]
+    assert collections.update_all(spark, registry, store, reader=reader).count() == 0
+
+
+def test_clients_tell_errors_apart():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from ragloom.sources import clients
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            status = int(body["input"]) if "input" in body and body["input"].isdigit() else 200
+            out = b'data: {"choices": [{"delta": {"content": "a"}}]}\n\ndata: {"choices": [{"delta": {"content": "b"}}]}\n\ndata: [DONE]\n\n' if "messages" in body else json.dumps({"data": [{"embedding": [1.0, 2.0]}]}).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(out)))
+            self.end_headers()
+            self.wfile.write(out)
+
+        def log_message(self, *a):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/v1"
+    call = clients.embedder(url, "m")()
+    assert call("x") == [1.0, 2.0]
+    for status in ("429", "503"):
+        with pytest.raises(ingest.Unavailable):
+            call(status)
+    with pytest.raises(ValueError):
+        call("400")
+    assert list(clients.chat(url, "m")("[]")) == ["a", "b"]
+    server.shutdown()
+    server.server_close()
+    with pytest.raises(ingest.Unavailable):
+        clients.embedder(url, "m")()("x")
+
+
 def test_store_and_admin(spark, tmp_path):
     from ragloom.operators import admin
 
@@ -116,12 +253,13 @@ def test_store_and_admin(spark, tmp_path):
     assert not admin.clean(spark, path, "delete") and admin.clean(spark, path, "DELETE ALL") and admin.collections(spark, path) == []
 
 
-def test_paths(spark):
+def test_paths(spark, monkeypatch):
     roots = spark.createDataFrame([("DOCS", "/r/docs"), ("API", "/r/docs/api/")], "name string, root string")
     cases = {"/r/docs/m.pdf": "/docs/m.pdf", "/r/docs/api/m.pdf": "/api/m.pdf", "/r/docs2/m.pdf": "/r/docs2/m.pdf", "/r/docs": "/docs/.", "/x/../y": "/x/../y", "/r/x/../docs/a": "/docs/a", "/r//docs/b/": "/docs/b"}
     got = {r.path: r.portable for r in paths.encode_paths(spark.createDataFrame([(p,) for p in [*cases, None]], "path string"), roots).collect()}
     assert got == {**cases, None: None}
-    assert all(paths.encode_path(p, {"DOCS": "/r/docs", "API": "/r/docs/api/"}) == want for p, want in cases.items())
+    monkeypatch.setattr(paths, "ROOTS", 1)
+    assert {r.path: r.portable for r in paths.encode_paths(spark.createDataFrame([(p,) for p in [*cases, None]], "path string"), roots).collect()} == got
 
 
 @pytest.mark.parametrize(("name", "pattern", "yes"), [("test_main.cpp", "test_*.cpp", True), ("Test_main.cpp", "test_*.cpp", False), ("b1.c", "[ab]*.c", True), ("a1.c", "[ab]1.c", False), ("x.c\n", "x.?", False)])
