@@ -1,7 +1,8 @@
 """Cutting oversized items at natural boundaries, by ranges.
 
-An item is read in ranges of RANGE characters with a halo on each side; no stage needs the whole
-text of a piece's item at once. Each range detects its boundaries and keeps, for each cell of the
+An item is read in ranges of RANGE characters with a halo on each side; they are sliced from a stored
+text in one walk, or read by offset from a giant file (sources.files.text_ranges, file_pieces), and no
+later stage needs the whole text of a piece's item. Each range detects its boundaries and keeps, for each cell of the
 item's grid, the best one: paragraph, line, sentence, word, any safe place, any place. Boundary
 tables of neighbouring ranges are stitched by taking the best of each cell. The cut of cell k is the
 best boundary in its search window, the last quarter before k times the step, so every piece fits
@@ -24,11 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ragloom.runtime import cut
+from ragloom.sources.files import text_ranges
+
 #: Characters of a range and of the halo on each side of it.
 RANGE, HALO = 8192, 48
+#: Ranges of one text that are handed on at once.
+AT_ONCE = 256
 #: Strengths of boundaries.
 PARAGRAPH, LINE, SENTENCE, WORD, SAFE, ANY = 5, 4, 3, 2, 1, 0
 
@@ -80,17 +86,28 @@ def best_in_windows(text: str, start: int, own_from: int, own_to: int, step: int
 
 
 def ranges(items: DataFrame, key: str, text: str, limit: str, overlap: str) -> DataFrame:
-    """(k, n, lim, ov, r, lo, before, body, after): the ranges of the items above their limit."""
+    """(k, n, lim, ov, r, lo, hi, start, part): the ranges [lo, hi) of the items above their limit; part has them with halos from start on."""
     rows = items.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).alias("k"), F.col(text).alias("t"), F.length(text).cast("long").alias("n"), F.col(limit).cast("long").alias("lim"), F.greatest(F.lit(0), F.coalesce(F.col(overlap), F.lit(0))).cast("long").alias("o")
     )
     rows = rows.withColumn("lim", F.when(F.col("lim") >= 1, F.col("lim"))).withColumn("ov", F.least("o", F.floor(F.col("lim") / 2)))
-    over = rows.where("n > lim").withColumn("r", F.explode(F.expr(f"sequence(0L, (n - 1) div {RANGE})")))
-    lo = F.col("r") * RANGE
-    from_ = F.greatest(F.lit(0), lo - HALO)
-    return over.select(
-        "k", "n", "lim", "ov", "r", lo.alias("lo"), from_.alias("start"), F.substring("t", (from_ + 1).cast("int"), (lo - from_ + RANGE + HALO).cast("int")).alias("part")
-    )
+    kind = dict(items.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                n = len(text)
+                lows = np.arange(0, n, RANGE)
+                for a in range(0, len(lows), AT_ONCE):  # a giant text leaves in several batches
+                    some = lows[a : a + AT_ONCE]
+                    starts = np.maximum(0, some - HALO)
+                    same = pa.array(np.full(len(some), i, np.int64))
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(same), pa.array(np.full(len(some), n, np.int64)), batch.column(2).take(same), batch.column(3).take(same), pa.array(some // RANGE), pa.array(some), pa.array(np.minimum(some + RANGE, n)), pa.array(starts), pa.array([text[s : x + RANGE + HALO] for s, x in zip(starts.tolist(), some.tolist())], pa.string())],
+                        names=["k", "n", "lim", "ov", "r", "lo", "hi", "start", "part"],
+                    )
+
+    return rows.where("n > lim").select("k", "t", "lim", "ov").mapInArrow(run, f"k {kind}, n long, lim long, ov long, r long, lo long, hi long, start long, part string")
 
 
 def cuts(parts: DataFrame, key_type: str) -> DataFrame:
@@ -101,8 +118,7 @@ def cuts(parts: DataFrame, key_type: str) -> DataFrame:
             src, cell, value, at = [], [], [], []
             cols = batch.to_pydict()
             for i, part in enumerate(cols["part"]):
-                lo = cols["lo"][i]
-                for c, v, x in best_in_windows(part, cols["start"][i], lo, min(lo + RANGE, cols["n"][i]), cols["step"][i], cols["win"][i]):
+                for c, v, x in best_in_windows(part, cols["start"][i], cols["lo"][i], cols["hi"][i], cols["step"][i], cols["win"][i]):
                     src.append(i)
                     cell.append(c)
                     value.append(v)
@@ -115,7 +131,7 @@ def cuts(parts: DataFrame, key_type: str) -> DataFrame:
 
     lim, ov = F.col("lim"), F.col("ov")
     schema = f"k {key_type}, n long, lim long, ov long, cell long, value int, at long"
-    own = parts.select("k", "n", "lim", "ov", "lo", "start", "part", step_of(lim, ov).alias("step"), window_of(lim, ov).alias("win")).mapInArrow(run, schema)
+    own = parts.select("k", "n", "lim", "ov", "lo", "hi", "start", "part", step_of(lim, ov).alias("step"), window_of(lim, ov).alias("win")).mapInArrow(run, schema)
     best = own.groupBy("k", "cell").agg(F.max(F.struct("value", "at")).alias("b"), F.first("n").alias("n"), F.first("lim").alias("lim"), F.first("ov").alias("ov"))
     inner = best.select("k", "n", "lim", "ov", "cell", F.col("b.at").alias("cut")).where((F.col("cell") * step_of(lim, ov) < F.col("n")))
     return inner
@@ -141,6 +157,15 @@ def spans(parts: DataFrame, key_type: str) -> DataFrame:
     )
 
 
+def _assembled(shards: DataFrame) -> DataFrame:
+    """(k, piece_no, start_char, end_char, own_start, text) from the ranges (r, lo, hi, start, part) each piece covers."""
+    from_, to = F.greatest("start_char", "lo"), F.least("end_char", "hi")
+    text = F.substring("part", (from_ - F.col("start") + 1).cast("int"), (to - from_).cast("int"))
+    each = F.array_sort(F.collect_list(F.struct("r", text.alias("s"))))  # ranges of one piece
+    joined = shards.groupBy("k", "piece_no", "start_char", "end_char", "own_start").agg(F.array_join(F.transform(each, lambda x: x["s"]), "").alias("text"))
+    return joined.select("k", F.col("piece_no").cast("int").alias("piece_no"), "start_char", "end_char", "own_start", "text")
+
+
 def pieces(items: DataFrame, key: str, text: str = "text", limit: str = "max_chars", overlap: str = "overlap_chars", only_cut: bool = False) -> DataFrame:
     """(key, piece_no, start_char, end_char, own_start, text): all pieces of all items.
 
@@ -150,13 +175,7 @@ def pieces(items: DataFrame, key: str, text: str = "text", limit: str = "max_cha
     parts = ranges(items, key, text, limit, overlap)
     cut_spans = spans(parts, kind)
     cover = cut_spans.withColumn("r", F.explode(F.expr(f"sequence(start_char div {RANGE}, (end_char - 1) div {RANGE})")))
-    from_ = F.greatest(F.col("start_char"), F.col("lo"))
-    to = F.least(F.col("end_char"), F.col("lo") + RANGE)
-    shards = cover.join(parts.select("k", "r", "lo", "start", "part"), ["k", "r"]).select(
-        "k", "piece_no", "start_char", "end_char", "own_start", "r", F.substring("part", (from_ - F.col("start") + 1).cast("int"), (to - from_).cast("int")).alias("s")
-    )
-    joined = shards.groupBy("k", "piece_no", "start_char", "end_char", "own_start").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "s"))), lambda x: x["s"]), "").alias("text"))
-    out = joined.select(F.col("k").alias(key), F.col("piece_no").cast("int").alias("piece_no"), "start_char", "end_char", "own_start", "text")
+    out = _assembled(cover.join(parts.select("k", "r", "lo", "hi", "start", "part"), ["k", "r"])).withColumnRenamed("k", key)
     if only_cut:
         return out
     n = F.length(text).cast("long")
@@ -172,3 +191,21 @@ def with_limits(items: DataFrame, registry: DataFrame) -> DataFrame:
     limits = registry.groupBy(name(F.col("name")).alias("_rl_name")).agg(F.max("max_chars").alias("max_chars"), F.max_by("overlap_chars", "max_chars").alias("overlap_chars"))
     rows = items.drop("max_chars", "overlap_chars").withColumn("_rl_name", name(F.col("collection")))
     return rows.join(limits, "_rl_name", "left").drop("_rl_name")
+
+
+def file_pieces(spark: SparkSession, sizes: DataFrame, limit: int, overlap: int, range_bytes: int = 4 << 20) -> DataFrame:
+    """(path, piece_no, start_char, end_char, own_start, text): the pieces of giant files (path, length in bytes).
+
+    Workers seek to byte ranges with halos, prefix sums of the ranges' lengths give their offsets in
+    characters, and pieces are put together by offset from the ranges they cover; no file is loaded as
+    a whole. A file within the limit is one piece; an empty one has none.
+    """
+    read = cut(text_ranges(spark, sizes, range_bytes, HALO).where("n > 0"))
+    total = read.groupBy("path").agg(F.sum("n").alias("total"))
+    rows = read.join(total, "path").select(F.col("path").alias("k"), F.col("total").alias("n"), F.lit(limit).cast("long").alias("lim"), F.lit(min(max(0, overlap), limit // 2)).cast("long").alias("ov"), "r", "lo", (F.col("lo") + F.col("n")).alias("hi"), "start", "part")
+    cells = lambda a, b: F.explode(F.sequence(F.floor(a / range_bytes), F.floor((b - 1) / range_bytes)))
+    # ranges hold at most range_bytes characters; both sides meet in the cells of a grid of that many
+    laid = spans(rows, "string").withColumn("cell", cells(F.col("start_char"), F.col("end_char")))
+    grid = rows.select("k", "r", "lo", "hi", cells(F.col("lo"), F.col("hi")).alias("cell"))
+    met = laid.join(grid, ["k", "cell"]).where("lo < end_char AND hi > start_char").drop("cell", "lo", "hi").distinct()
+    return _assembled(met.join(rows.select("k", "r", "lo", "hi", "start", "part"), ["k", "r"])).withColumnRenamed("k", "path")

@@ -66,3 +66,17 @@ def test_limits_match_without_case(spark):
     registry = spark.createDataFrame([("DOCS", 20, 3)], "name string, max_chars int, overlap_chars int")
     got = {r.seq: r.max_chars for r in op.with_limits(items, registry).collect()}
     assert got == {1: 20, 2: None, 3: None}
+
+
+def test_files_by_byte_ranges(spark, tmp_path):
+    rng = random.Random(5)
+    texts = {"a.txt": "".join(rng.choice(["word ", "é日😀. ", "\n\n", "x" * 9]) for _ in range(4000)), "b.txt": "short", "c.txt": ""}
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    sizes = spark.createDataFrame([(str(tmp_path / n), len(t.encode())) for n, t in texts.items()], "path string, length long")
+    for range_bytes in (1000, 5000):
+        got: dict = {}
+        for p in op.file_pieces(spark, sizes, 700, 60, range_bytes).collect():
+            got.setdefault(p.path.rsplit("/", 1)[1], []).append(p)
+        assert set(got) == {"a.txt", "b.txt"} and [p.text for p in got["b.txt"]] == ["short"]
+        check(texts["a.txt"], 700, 60, sorted(got["a.txt"], key=lambda p: p.piece_no))
