@@ -1,4 +1,4 @@
-from ragloom.operators.rank_fusion import leximin
+from ragloom.llm.rank_fusion import leximin
 
 S = "qid long, id string, score double, collection_name string, g string, pct double"
 
