@@ -18,11 +18,11 @@ Hot keys: a key that more than HOT texts hold (a shared opening, boilerplate) is
 get the hashes of it and each of the next GAP shingles of their own list instead, and again up to
 LEVELS shingles. Hot keys are found in each batch, by exact counts; every RECOUNT batches those stored are counted
 too. They stay hot. What was stored under a key before it became hot (at most HOT texts a batch
-since the last count) stays there, and new texts go on probing it. A key of the last level that is still hot (many texts
-with LEVELS neighbouring smallest shingles in common) has pages: its texts meet the first PAGE texts
-of the key; one that has less than FREE keys of its own besides, and is still without a link, goes
-on to the next page, which has the first PAGE of those, and so on. So a key never yields more than
-HOT pairs for a text and batch since that count, nothing is dropped, and no group is compared with itself.
+since the last count) stays there, and new texts go on probing it. A key that is still hot and can't be split (many
+texts with LEVELS neighbouring smallest shingles in common, or of one shingle) has a crowd: its texts first meet the
+first PAGE of them, which unites copies at little cost, and then all others of the crowd, stored or new, that are not
+of their unit by then. Only equal units and exact bounds exclude pairs of a crowd. So the work for a crowd without
+copies grows with the square of its texts.
 
 Candidates: pairs that share a key; lengths alone, and then word sets of BITS bits, exclude those
 that cannot reach 4/5 (an exact bound). All others are verified.
@@ -58,11 +58,17 @@ from ragloom.runtime import cut, new_dir, shuffle_width
 
 SAME = 0.8
 SPAN, KEYS, SHORT = 3, 16, 24
-HOT, LEVELS, GAP, PAGE, FREE = 16, 3, 2, 8, 8
+HOT, LEVELS, GAP, PAGE = 16, 3, 2, 8
+#: Without effect since all of a crowd meet; the name is kept for callers that set it.
+FREE = 8
+#: Texts of a crowd and unit that are met as one row.
+BLOCK = 256
 #: Batches after which the stored keys are counted anew.
 RECOUNT = 4
 #: Rows of hot keys or of wanted numbers that are broadcast; larger ones are joined by a shuffle.
 BROADCAST = 200_000
+#: Links of a batch that are united on the driver; more are united by joins.
+LOCAL = 50_000
 #: Texts of a bucket of the store, if the session's number of shuffle partitions allows as many buckets.
 BUCKET_ROWS = 50_000
 #: Bits of the word sets that exclude pairs without their texts.
@@ -72,6 +78,10 @@ MEMO = 500_000
 #: What a key row is: stored and met; met in the store only; saturated in this batch; an anchor of a saturated
 #: key, stored or of its batch only; saturated before.
 MEMBER, PROBE, MANY, ANCHOR, GUEST, MANY_OLD = 0, 1, 2, 3, 4, 5
+#: Parts of the key table: met by later batches, of use in the own batch only, crowds of saturated keys.
+MET, SPENT, CROWD = 0, 1, 2
+#: Of the tables; stores of others are refused.
+FORMAT = 2
 #: Logs of merged units that are kept before they become one.
 LOGS = 8
 _WORD = re.compile(r"[^\W_]+")
@@ -226,6 +236,27 @@ def scored(pairs: DataFrame, weights: dict[str, list[float]] | None) -> DataFram
     return rows.withColumn("score", sum(parts[1:], parts[0]))
 
 
+def _child(g: int) -> tuple[Column, Column]:
+    """(key, pos) of a hot key at pos of a text's list l, together with the g-th shingle after it."""
+    pos = (F.col("pos") + g) % F.size("l")
+    return F.xxhash64("key", F.get("l", pos)).alias("key"), pos.alias("pos")
+
+
+def united(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """(node, root) of the nodes of pairs; root is the smallest node of the component."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for a, b in pairs:
+        x, y = top(a), top(b)
+        up[max(x, y)] = min(x, y)
+    return [(x, top(x)) for x in list(up)]
+
+
 class Store:
     """The accepted units below a path; add() links a batch and accepts it."""
 
@@ -237,17 +268,22 @@ class Store:
         "units": (("seq",), "seq long, root long"),
     }
 
+    #: Further partition columns than the batch, and their values.
+    PARTS = {"keys": {"part": (MET, SPENT, CROWD)}}
+
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
         self.path = path or new_dir(spark, "units")
         self.id = xxhash.xxh64_hexdigest(self.path)
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.state = self._read_manifest() or {"batches": 0, "buckets": buckets or shuffle_width(spark), "hot": 0, "many": 0, "merged": 0, "counts": {}}
+        self.state = self._read_manifest() or {"format": FORMAT, "batches": 0, "buckets": buckets or shuffle_width(spark), "hot": 0, "merged": 0, "counts": {}}
+        if self.state.get("format") != FORMAT:
+            raise ValueError(f"the store at {self.path} was made in another format; link its batches into a new one")
         self.buckets = self.state["buckets"]
         for name, (keys, columns) in self.TABLES.items():
-            by = ", ".join(keys)
-            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(name)} ({columns}, batch int) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (batch) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            by, parts = ", ".join(keys), ["batch", *self.PARTS.get(name, {})]
+            spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(name)} ({columns}, {' int, '.join(parts)} int) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({', '.join(parts)}) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
             if self.state["batches"]:
                 spark.catalog.recoverPartitions(self._name(name))
 
@@ -273,7 +309,7 @@ class Store:
 
     def _append(self, df: DataFrame, name: str) -> None:
         keys, columns = self.TABLES[name]
-        df = df.select(*(c.split()[0] for c in columns.split(", ")), F.lit(self.state["batches"]).alias("batch")).repartition(self.buckets, *keys)
+        df = df.select(*(c.split()[0] for c in columns.split(", ")), F.lit(self.state["batches"]).alias("batch"), *self.PARTS.get(name, {})).repartition(self.buckets, *keys)
         df.write.insertInto(self._name(name))
 
     def _stored(self, name: str) -> DataFrame | None:
@@ -296,7 +332,9 @@ class Store:
         for name in [*self.TABLES, "rows", "hot", "merged", "links"]:
             self._fs.delete(self._fs_path(f"{self.path}/{name}/batch={n}"), True)
         for name in self.TABLES:
-            self.spark.sql(f"ALTER TABLE {self._name(name)} DROP IF EXISTS PARTITION (batch = {n})")
+            specs = [""] + [f", {column} = {v}" for column, values in self.PARTS.get(name, {}).items() for v in values]
+            for spec in specs[1:] or specs:
+                self.spark.sql(f"ALTER TABLE {self._name(name)} DROP IF EXISTS PARTITION (batch = {n}{spec})")
 
     def close(self) -> None:
         """Forget the tables' names; their files stay and can be opened again."""
@@ -316,22 +354,21 @@ class Store:
         """df, to be broadcast if it has at most BROADCAST rows."""
         return F.broadcast(df) if rows <= BROADCAST else df
 
-    def _keys(self, fresh: DataFrame, upto: int = LEVELS) -> DataFrame:
-        """(key, seq, n, kind, level): the blocking keys of texts; hot ones of levels up to upto are split."""
+    def _keys(self, fresh: DataFrame) -> DataFrame:
+        """(key, seq, n, kind, level): the blocking keys of texts; hot ones are split."""
         lists = fresh.select("seq", "n", F.explode(F.array_compact(F.array("v", "w"))).alias("l"))
         rows = lists.select("seq", "n", "l", F.posexplode("l").alias("pos", "key")).withColumns({"kind": F.lit(MEMBER), "level": F.lit(1)})
         if not self.state["hot"]:
             return rows.drop("l", "pos")
         hot = self._small(self._files("hot", "key long").select("key", F.col("batch").alias("since")), self.state["hot"])
         size = F.size("l")
-        for level in range(1, upto + 1):
+        for level in range(1, LEVELS + 1):
             found = F.col("since").isNotNull() & (F.col("kind") == MEMBER) & (F.col("level") == level)
             own = lambda kind: F.struct("key", "pos", F.lit(kind).alias("kind"), F.col("level").alias("level"))
             many = F.when(F.col("since") == self.state["batches"], F.lit(MANY)).otherwise(F.lit(MANY_OLD))
             full = F.array(F.struct("key", "pos", many.alias("kind"), F.col("level").alias("level")))
             if level < LEVELS:
-                next_ = lambda g: (F.col("pos") + g) % size
-                child = lambda g: F.struct(F.xxhash64("key", F.get("l", next_(g))).alias("key"), next_(g).alias("pos"), F.lit(MEMBER).alias("kind"), F.lit(level + 1).alias("level"))
+                child = lambda g: F.struct(*_child(g), F.lit(MEMBER).alias("kind"), F.lit(level + 1).alias("level"))
                 split = F.concat(F.array(own(PROBE)), *(F.when(size > g, F.array(child(g))).otherwise(F.array().cast("array<struct<key:bigint,pos:int,kind:int,level:int>>")) for g in range(1, GAP + 1)))
                 after = F.when(found & (size > 1), split).when(found, full).otherwise(F.array(own(MEMBER).withField("kind", F.col("kind"))))
             else:
@@ -341,29 +378,31 @@ class Store:
 
     def _find_hot(self, fresh: DataFrame) -> None:
         """Count the batch's keys, level by level, and mark those that more than HOT texts hold."""
+        size = F.size("l")
         for level in range(1, LEVELS + 1):
-            rows = self._keys(fresh, level).where((F.col("level") == level) & (F.col("kind") == MEMBER))
-            self._mark(rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key"), level)
+            rows = fresh.select(F.explode(F.array_compact(F.array("v", "w"))).alias("l")).select("l", F.posexplode("l").alias("pos", "key"))
+            hot = self._small(self._files("hot", "key long").select("key"), self.state["hot"]) if self.state["hot"] else None
+            for _ in range(level - 1):
+                children = F.concat(*(F.when(size > g, F.array(F.struct(*_child(g)))).otherwise(F.array().cast("array<struct<key:bigint,pos:int>>")) for g in range(1, GAP + 1)))
+                rows = rows.join(hot, "key").select("l", F.inline(children))
+            counts = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key")
+            self._mark(counts if hot is None else counts.join(hot, "key", "left_anti"))
             if not self.state["hot"]:
                 return
 
-    def _mark(self, keys: DataFrame, level: int | None = None) -> None:
-        """Add keys (with their level, if it is not given) to the hot ones."""
+    def _mark(self, keys: DataFrame) -> None:
+        """Add keys to the hot ones."""
         seen = Observation()
-        if level is not None:
-            keys = keys.withColumn("level", F.lit(level))
-        keys = keys.observe(seen, F.count("*").alias("n"), F.count_if(F.col("level") == LEVELS).alias("many"))
-        keys.select("key").write.mode("append").parquet(f"{self.path}/hot/batch={self.state['batches']}")
+        keys.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(f"{self.path}/hot/batch={self.state['batches']}")
         self.state["hot"] += seen.get["n"]
-        self.state["many"] += seen.get["many"]
 
     def _recount(self) -> None:
         """Mark the keys of the last batches that hold more than HOT texts with those stored before."""
         n = self.state["batches"]
-        every = self.spark.table(self._name("keys")).where((F.col("batch") <= n) & (F.col("kind") == MEMBER))
+        every = self.spark.table(self._name("keys")).where((F.col("batch") <= n) & (F.col("part") == MET) & (F.col("kind") == MEMBER))
         new = every.where(F.col("batch") > n - RECOUNT).select("key").distinct().hint("shuffle_hash")
         known = self._small(self._files("hot", "key long").select("key"), self.state["hot"]) if self.state["hot"] else None
-        counts = every.join(new, "key", "left_semi").groupBy("key").agg(F.count("*").alias("c"), F.max("level").alias("level")).where(F.col("c") > HOT).select("key", "level")
+        counts = every.join(new, "key", "left_semi").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key")
         self._mark(counts if known is None else counts.join(known, "key", "left_anti"))
 
     # -- candidates
@@ -379,6 +418,8 @@ class Store:
         seen = Observation()
         pairs = cut(scored(pairs, weights_of(self.state["counts"])).drop(*(f"{k}_{s}" for k in SETS for s in "ab")).observe(seen, F.count("*").alias("n")))
         found = seen.get["n"]
+        if not found:
+            return pairs.withColumn("sim", F.lit(0.0)), 0
         rows = self._files("rows", _SKETCH).select("seq", "norm", "batch")
         wanted = self._small(pairs.select(F.col("a").alias("seq")).union(pairs.select("b")).distinct(), 2 * found)
         texts = rows.join(wanted, "seq", "left_semi")
@@ -394,7 +435,7 @@ class Store:
         stored = self._stored("keys")
         if stored is None:
             return met
-        stored = side(stored.where(F.col("kind").isin(MEMBER, ANCHOR)), "a")
+        stored = side(stored.where(F.col("part") == MET), "a")
         return met.unionByName(side(probing, "b").hint("shuffle_hash").join(stored, "key").where(near).select("a", "b"))
 
     def _learn(self, verified: DataFrame) -> None:
@@ -406,29 +447,46 @@ class Store:
                 at = counts.setdefault(f"{field},{r[field]}", [0, 0])
                 at[0 if r["y"] else 1] += r["count"]
 
-    def _first_of(self, rows: DataFrame) -> DataFrame:
-        """The first PAGE rows of each key; cut on the map side."""
+    def _put_keys(self, fresh: DataFrame) -> bool:
+        """Store the keys of the batch; whether some of them are saturated."""
+        rows, seen = self._keys(fresh), Observation()
+        if not self.state["batches"]:
+            rows = rows.where(F.col("kind") != PROBE)  # there is nothing to probe
+        part = F.when(F.col("kind") == MEMBER, MET).when(F.col("kind") == PROBE, SPENT).otherwise(CROWD)
+        self._append(rows.withColumn("part", part).observe(seen, F.count_if(F.col("kind").isin(MANY, MANY_OLD)).alias("many")), "keys")
+        if not seen.get["many"]:
+            return False
         w = Window.partitionBy("key").orderBy("seq")
-        return rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= PAGE).drop("place")
-
-    def _pages(self, verified: DataFrame) -> list[DataFrame]:
-        """Links of texts that saturated keys alone could lead to others, found page by page."""
-        linked = lambda df: df.where(F.col("sim") >= SAME).select(F.col("b").alias("seq"))
-        own = self._own("keys")
-        free = own.where(F.col("kind") == MEMBER).groupBy("seq").agg(F.count("*").alias("c")).where(F.col("c") >= FREE).select("seq")
-        many = own.where(F.col("kind").isin(MANY, MANY_OLD)).select("key", "seq", "n")
-        rest = many.join(free, "seq", "left_anti").join(linked(verified), "seq", "left_anti").join(own.where(F.col("kind").isin(ANCHOR, GUEST)), ["key", "seq"], "left_anti")
-        out = []
-        while True:
-            seen = Observation()
-            rest = cut(rest.withColumn("key", F.xxhash64("key", F.lit(len(out)))).observe(seen, F.count("*").alias("n")))
-            if not seen.get["n"]:
-                return out
-            first = cut(self._first_of(rest))
-            found, _ = self._verified(self._meet(rest, first, rest))
-            self._append(first.select("key", "seq", "n", F.lit(ANCHOR).alias("kind"), F.lit(LEVELS).alias("level")), "keys")
-            out.append(found)
-            rest = rest.join(first.select("key", "seq"), ["key", "seq"], "left_anti").join(linked(found), "seq", "left_anti")
+        first = self._own("keys").where(F.col("part") == CROWD).withColumn("place", F.row_number().over(w)).where(F.col("place") <= PAGE)
+        new = F.col("kind") == MANY
+        self._append(first.withColumns({"kind": F.when(new, ANCHOR).otherwise(GUEST), "part": F.when(new, MET).otherwise(SPENT)}), "keys")
+        return True
+
+    def _crossed(self, roots: DataFrame) -> DataFrame:
+        """(a, b) of the texts of a crowd whose units differ, but for those that lengths and word sets exclude.
+
+        Texts of one unit in a crowd are met as blocks, so that the pairs within a unit are not even listed.
+        """
+        n = self.state["batches"]
+        crowd = self.spark.table(self._name("keys")).where((F.col("batch") <= n) & (F.col("part") == CROWD)).select("key", "seq", (F.col("batch") == n).alias("new"))
+        own = crowd.where("new")
+        if n:
+            crowd = crowd.join(own.select("key").distinct(), "key", "left_semi")
+        unit, units = F.col("seq"), self._stored("units")
+        if units is not None:
+            crowd = self._top(crowd.join(units, "seq", "left"), "root").withColumnRenamed("root", "known")
+            unit = F.coalesce("known", "seq")
+        crowd = crowd.withColumn("unit", unit).join(roots.withColumnRenamed("node", "unit"), "unit", "left")
+        facts = self.spark.table(self._name("facts")).where(F.col("batch") <= n).select("seq", "n", *SETS)
+        crowd = cut(crowd.select("key", "seq", "new", F.coalesce("root", "unit").alias("unit")).join(facts, "seq"))
+        w = Window.partitionBy("key", "unit", "new").orderBy("seq")
+        blocks = crowd.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
+        blocks = blocks.groupBy("key", "unit", "new", "block").agg(F.collect_list(F.struct(*(F.col(c).alias(f"{c}_a" if c != "seq" else "a") for c in ("seq", "n", *SETS)))).alias("texts"))
+        own = crowd.where("new").select("key", F.col("unit").alias("unit_b"), F.col("seq").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *SETS)))
+        met = own.join(blocks, "key").where(F.col("unit") != F.col("unit_b"))
+        near = F.least("n_a", "n_b") >= F.lit(SAME) * F.greatest("n_a", "n_b") - F.lit(1e-9)
+        met = met.select("b", "new", "n_b", *(f"{k}_b" for k in SETS), F.inline("texts"))
+        return met.where(near & (~F.col("new") | (F.col("a") < F.col("b"))) & possible()).select("a", "b")
 
     # -- one batch
 
@@ -454,20 +512,19 @@ class Store:
         with self._plans(False):
             first, fresh = self._sketched(batch)
             self._find_hot(fresh)
-            self._append(self._keys(fresh), "keys")
-            if self.state["many"]:
-                ranked = self._first_of(self._own("keys").where(F.col("kind").isin(MANY, MANY_OLD)))
-                self._append(ranked.withColumn("kind", F.when(F.col("kind") == MANY, ANCHOR).otherwise(GUEST)), "keys")
+            crowded = self._put_keys(fresh)
             own = self._own("keys")
             kinds = lambda *k: own.where(F.col("kind").isin(*k))
             verified, n = self._verified(self._meet(kinds(MEMBER, MANY, MANY_OLD), kinds(MEMBER, ANCHOR, GUEST), kinds(MEMBER, PROBE, MANY, MANY_OLD)))
             if n:
                 self._learn(verified)
-            found = [verified, *(self._pages(verified) if self.state["many"] else [])]
-            linked = found[0].where(F.col("sim") >= SAME).select("a", "b")
-            for more in found[1:]:
-                linked = linked.unionByName(more.where(F.col("sim") >= SAME).select("a", "b"))
-            own_rows = self._united(first, fresh, linked)
+            linked = verified.where(F.col("sim") >= SAME).select("a", "b")
+            edges, roots = self._roots(linked)
+            if crowded:
+                more, n = self._verified(self._crossed(roots))
+                if n:
+                    edges, roots = self._roots(linked.unionByName(more.where(F.col("sim") >= SAME).select("a", "b")))
+            own_rows = self._united(first, fresh, edges, roots)
             if self.state["batches"] and self.state["batches"] % RECOUNT == 0:
                 self._recount()
         with self._plans(True):  # one text may be a third of the rows
@@ -499,13 +556,20 @@ class Store:
             df = df.join(self._small(moved, self.state["merged"]), column, "left").withColumn(column, F.coalesce("_up", column)).drop("_up")
         return df
 
-    def _united(self, first: DataFrame, fresh: DataFrame, linked: DataFrame) -> DataFrame:
-        """Join the links' units, store the new texts' units, and return (h1, h2, root) of the batch's texts."""
+    def _roots(self, linked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(links with the unit of their stored side, (node, root) of the units and texts that they join)."""
         units = self._stored("units")
         edges = linked.withColumn("root", F.lit(None).cast("long")) if units is None else linked.join(units.select(F.col("seq").alias("a"), "root"), "a", "left")
-        edges = cut(self._top(edges, "root"))
-        roots = components(edges.select(F.coalesce("root", "a").alias("a"), "b"))
-        if units is not None:
+        seen = Observation()
+        edges = cut(self._top(edges, "root").observe(seen, F.count("*").alias("n")))
+        pairs = edges.select(F.coalesce("root", "a").alias("a"), "b")
+        if seen.get["n"] > LOCAL:
+            return edges, components(pairs)
+        return edges, F.broadcast(self.spark.createDataFrame(united([tuple(r) for r in pairs.collect()]), "node long, root long"))
+
+    def _united(self, first: DataFrame, fresh: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+        """Join the links' units, store the new texts' units, and return (h1, h2, root) of the batch's texts."""
+        if self.state["batches"]:
             moved = roots.where("root < node").join(edges.where("root IS NOT NULL").select(F.col("root").alias("node")).distinct(), "node", "left_semi")
             seen = Observation()
             self._put(moved.observe(seen, F.count("*").alias("n")).select("node", "root"), "merged")

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from ragloom.llm import incremental as op
 from ragloom.llm.components import components
 
@@ -207,6 +209,61 @@ def test_pages_lead_on(spark, monkeypatch):
     assert got == {(k, 100 + k) for k in range(6)}
 
 
+def _whole(spark, rows):
+    got = {(r.seq_a, r.seq_b) for r in op.link_batches(spark.createDataFrame(rows, S), history=-1).collect()}
+    words, root = {r[0]: op.words_of(r[2]) for r in rows}, {r[0]: r[0] for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in words:
+        for a in words:
+            if a < b and find(a) != find(b) and op.shared_in_order(words[a], words[b]) >= op.SAME * max(len(words[a]), len(words[b])):
+                i, j = find(a), find(b)
+                root[max(i, j)] = min(i, j)
+    return got, {(find(k), k) for k in words if find(k) != k}
+
+
+def test_crowds_are_compared_as_a_whole(spark, monkeypatch):
+    """Texts with many keys of their own that share a saturated opening, and every other word after it, within and over batches."""
+    monkeypatch.setattr(op, "HOT", 4)
+    monkeypatch.setattr(op, "PAGE", 2)
+    monkeypatch.setattr(op, "LOCAL", 0)
+    opening, rows = [f"o{k}" for k in range(60)], []
+    for k in range(40):
+        rows.append((k, k % 2, " ".join(opening + [f"u{k}x{j}" for j in range(40)]), None, "A", 1, "x"))
+    for k in range(40):
+        for side in (0, 1):
+            tail = [f"p{k}x{j}" if j % 2 else f"p{k}y{side}x{j}" for j in range(40)]
+            rows.append((100 + 100 * side + k, k % 2 + side, " ".join(opening + tail), None, "A", 1, "x"))
+    got, want = _whole(spark, rows)
+    assert want == {(100 + k, 200 + k) for k in range(40)}
+    assert got == want
+
+
+def test_crowd_of_one_shingle(spark):
+    """Texts that repeat one word have one shingle, so that a hot key can't be split."""
+    rows = [(100 * (n % 2) + n, n % 2, "na " * n, None, "A", 1, "x") for n in range(26, 66)]
+    got, want = _whole(spark, rows)
+    assert got == want == {(26, r[0]) for r in rows if r[0] > 26}
+
+
+def test_united():
+    assert op.united([]) == []
+    assert sorted(op.united([(5, 3), (9, 8), (3, 9), (1, 2), (2, 1), (7, 7)])) == [(1, 1), (2, 1), (3, 3), (5, 3), (7, 7), (8, 3), (9, 3)]
+
+
+def test_store_of_another_format_is_refused(spark, tmp_path):
+    store = op.Store(spark, f"file://{tmp_path}/store", 2)
+    del store.state["format"]
+    store.add(_batch(spark, ["a b c d e f"], 0))
+    store.close()
+    with pytest.raises(ValueError):
+        op.Store(spark, f"file://{tmp_path}/store")
+
+
 def test_weights():
     assert op.weights_of({}) is None
     counts = {"f_path,0": [1, 9], "f_path,1": [9, 1], "f_coll,0": [5, 5], "f_coll,1": [5, 5], "f_shared,3": [10, 0], "f_shared,0": [0, 10], "f_ratio,2": [10, 10]}
