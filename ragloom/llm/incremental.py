@@ -2,8 +2,8 @@
 
 Two texts are the same unit if they share SAME (4/5) of the words of the longer one in order; case,
 blanks and punctuation don't count. A Store is a folder of tables: exact hashes, blocking keys
-(bucketed by key), facts and units of the accepted texts (bucketed by number), their texts, links, and a
-log of merged units; a manifest names the last batch that was accepted as a whole, so that a store
+(packed arrays by bucket, see blocking.py), facts and units of the accepted texts (bucketed by number), their facts once
+more as packed cards, crowds, their texts, links, and a log of merged units; a manifest names the last batch that was accepted as a whole, so that a store
 can be closed, opened again by its path, and a batch that broke off be added again. add() reads its
 own batch; it probes the key tables (the stored side is not shuffled), scores candidate pairs by
 fields with learned weights, verifies them by their longest common subsequence, joins the links by
@@ -53,6 +53,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ragloom.llm import blocking
 from ragloom.llm.components import components
 from ragloom.runtime import cut, new_dir, shuffle_width
 
@@ -61,8 +62,6 @@ SPAN, KEYS, SHORT = 3, 16, 24
 HOT, LEVELS, GAP, PAGE = 16, 3, 2, 8
 #: Without effect since all of a crowd meet; the name is kept for callers that set it.
 FREE = 8
-#: Texts of a crowd and unit that are met as one row.
-BLOCK = 256
 #: Batches after which the stored keys are counted anew.
 RECOUNT = 4
 #: Rows of hot keys or of wanted numbers that are broadcast; larger ones are joined by a shuffle.
@@ -75,13 +74,8 @@ BUCKET_ROWS = 50_000
 BITS = 256
 SETS = ["s0", "s1", "s2", "s3"]
 MEMO = 500_000
-#: What a key row is: stored and met; met in the store only; saturated in this batch; an anchor of a saturated
-#: key, stored or of its batch only; saturated before.
-MEMBER, PROBE, MANY, ANCHOR, GUEST, MANY_OLD = 0, 1, 2, 3, 4, 5
-#: Parts of the key table: met by later batches, of use in the own batch only, crowds of saturated keys.
-MET, SPENT, CROWD = 0, 1, 2
 #: Of the tables; stores of others are refused.
-FORMAT = 2
+FORMAT = 3
 #: Logs of merged units that are kept before they become one.
 LOGS = 8
 _WORD = re.compile(r"[^\W_]+")
@@ -236,12 +230,6 @@ def scored(pairs: DataFrame, weights: dict[str, list[float]] | None) -> DataFram
     return rows.withColumn("score", sum(parts[1:], parts[0]))
 
 
-def _child(g: int) -> tuple[Column, Column]:
-    """(key, pos) of a hot key at pos of a text's list l, together with the g-th shingle after it."""
-    pos = (F.col("pos") + g) % F.size("l")
-    return F.xxhash64("key", F.get("l", pos)).alias("key"), pos.alias("pos")
-
-
 def united(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """(node, root) of the nodes of pairs; root is the smallest node of the component."""
     up: dict[int, int] = {}
@@ -263,13 +251,15 @@ class Store:
     #: Tables bucketed by their join key, and their columns besides the batch.
     TABLES = {
         "exact": (("h1", "h2"), "h1 long, h2 long, root long"),
-        "keys": (("key",), "key long, seq long, n int, kind int, level int"),
+        "keys": (("bucket",), "bucket int, what int, key binary, seq binary, n binary"),
+        "crowds": (("key",), "key long, seq long, n int, s0 long, s1 long, s2 long, s3 long"),
+        "cards": (("bucket",), "bucket int, more binary"),
         "facts": (("seq",), "seq long, n int, path int, coll int, s0 long, s1 long, s2 long, s3 long"),
         "units": (("seq",), "seq long, root long"),
     }
 
     #: Further partition columns than the batch, and their values.
-    PARTS = {"keys": {"part": (MET, SPENT, CROWD)}}
+    PARTS = {"keys": {"level": tuple(range(1, LEVELS + 1))}}
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None):
         self.spark = spark
@@ -277,13 +267,15 @@ class Store:
         self.id = xxhash.xxh64_hexdigest(self.path)
         self._fs_path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._fs_path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.state = self._read_manifest() or {"format": FORMAT, "batches": 0, "buckets": buckets or shuffle_width(spark), "hot": 0, "merged": 0, "counts": {}}
+        self.state = self._read_manifest() or {"format": FORMAT, "batches": 0, "buckets": buckets or shuffle_width(spark), "merged": 0, "counts": {}}
         if self.state.get("format") != FORMAT:
             raise ValueError(f"the store at {self.path} was made in another format; link its batches into a new one")
         self.buckets = self.state["buckets"]
+        self.labels = self._labels()
         for name, (keys, columns) in self.TABLES.items():
             by, parts = ", ".join(keys), ["batch", *self.PARTS.get(name, {})]
             spark.sql(f"CREATE TABLE IF NOT EXISTS {self._name(name)} ({columns}, {' int, '.join(parts)} int) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY ({', '.join(parts)}) CLUSTERED BY ({by}) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{name}'")
+            self._fs.mkdirs(self._fs_path(f"{self.path}/{name}"))  # a table may be without rows so far
             if self.state["batches"]:
                 spark.catalog.recoverPartitions(self._name(name))
 
@@ -307,10 +299,22 @@ class Store:
         out.close()
         self._fs.rename(self._fs_path(name + ".tmp"), self._fs_path(name + ".json"))
 
-    def _append(self, df: DataFrame, name: str) -> None:
+    def _labels(self) -> tuple[int, ...]:
+        """For each bucket a number that the hash of the bucketed tables sends there."""
+        found: dict[int, int] = {}
+        wide = 16 * self.buckets
+        while len(found) < self.buckets:
+            wide *= 2
+            label = F.col("id").cast("int")
+            rows = self.spark.range(wide).select(F.pmod(F.hash(label), F.lit(self.buckets)).alias("b"), label.alias("x")).groupBy("b").agg(F.min("x")).collect()
+            found = {r[0]: r[1] for r in rows}  # a row a bucket
+        return tuple(found[b] for b in range(self.buckets))
+
+    def _append(self, df: DataFrame, name: str, placed: bool = False) -> None:
+        """Store rows; those that are placed lie in partitions by bucket."""
         keys, columns = self.TABLES[name]
-        df = df.select(*(c.split()[0] for c in columns.split(", ")), F.lit(self.state["batches"]).alias("batch"), *self.PARTS.get(name, {})).repartition(self.buckets, *keys)
-        df.write.insertInto(self._name(name))
+        df = df.select(*(c.split()[0] for c in columns.split(", ")), F.lit(self.state["batches"]).alias("batch"), *self.PARTS.get(name, {}))
+        (df if placed else df.repartition(self.buckets, *keys)).write.insertInto(self._name(name))
 
     def _stored(self, name: str) -> DataFrame | None:
         """A table without the batch at hand; None before the first batch."""
@@ -329,7 +333,7 @@ class Store:
     def _forget_unfinished(self) -> None:
         """Remove what a batch that broke off has left."""
         n = self.state["batches"]
-        for name in [*self.TABLES, "rows", "hot", "merged", "links"]:
+        for name in [*self.TABLES, "rows", "merged", "links"]:
             self._fs.delete(self._fs_path(f"{self.path}/{name}/batch={n}"), True)
         for name in self.TABLES:
             specs = [""] + [f", {column} = {v}" for column, values in self.PARTS.get(name, {}).items() for v in values]
@@ -354,69 +358,63 @@ class Store:
         """df, to be broadcast if it has at most BROADCAST rows."""
         return F.broadcast(df) if rows <= BROADCAST else df
 
-    def _keys(self, fresh: DataFrame) -> DataFrame:
-        """(key, seq, n, kind, level): the blocking keys of texts; hot ones are split."""
-        lists = fresh.select("seq", "n", F.explode(F.array_compact(F.array("v", "w"))).alias("l"))
-        rows = lists.select("seq", "n", "l", F.posexplode("l").alias("pos", "key")).withColumns({"kind": F.lit(MEMBER), "level": F.lit(1)})
-        if not self.state["hot"]:
-            return rows.drop("l", "pos")
-        hot = self._small(self._files("hot", "key long").select("key", F.col("batch").alias("since")), self.state["hot"])
-        size = F.size("l")
-        for level in range(1, LEVELS + 1):
-            found = F.col("since").isNotNull() & (F.col("kind") == MEMBER) & (F.col("level") == level)
-            own = lambda kind: F.struct("key", "pos", F.lit(kind).alias("kind"), F.col("level").alias("level"))
-            many = F.when(F.col("since") == self.state["batches"], F.lit(MANY)).otherwise(F.lit(MANY_OLD))
-            full = F.array(F.struct("key", "pos", many.alias("kind"), F.col("level").alias("level")))
-            if level < LEVELS:
-                child = lambda g: F.struct(*_child(g), F.lit(MEMBER).alias("kind"), F.lit(level + 1).alias("level"))
-                split = F.concat(F.array(own(PROBE)), *(F.when(size > g, F.array(child(g))).otherwise(F.array().cast("array<struct<key:bigint,pos:int,kind:int,level:int>>")) for g in range(1, GAP + 1)))
-                after = F.when(found & (size > 1), split).when(found, full).otherwise(F.array(own(MEMBER).withField("kind", F.col("kind"))))
-            else:
-                after = F.when(found, full).otherwise(F.array(own(MEMBER).withField("kind", F.col("kind"))))
-            rows = rows.join(hot, "key", "left").select("seq", "n", "l", F.explode(after).alias("k")).select("seq", "n", "l", "k.*")
-        return rows.drop("l", "pos")
-
-    def _find_hot(self, fresh: DataFrame) -> None:
-        """Count the batch's keys, level by level, and mark those that more than HOT texts hold."""
-        size = F.size("l")
-        for level in range(1, LEVELS + 1):
-            rows = fresh.select(F.explode(F.array_compact(F.array("v", "w"))).alias("l")).select("l", F.posexplode("l").alias("pos", "key"))
-            hot = self._small(self._files("hot", "key long").select("key"), self.state["hot"]) if self.state["hot"] else None
-            for _ in range(level - 1):
-                children = F.concat(*(F.when(size > g, F.array(F.struct(*_child(g)))).otherwise(F.array().cast("array<struct<key:bigint,pos:int>>")) for g in range(1, GAP + 1)))
-                rows = rows.join(hot, "key").select("l", F.inline(children))
-            counts = rows.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key")
-            self._mark(counts if hot is None else counts.join(hot, "key", "left_anti"))
-            if not self.state["hot"]:
-                return
-
-    def _mark(self, keys: DataFrame) -> None:
-        """Add keys to the hot ones."""
-        seen = Observation()
-        keys.observe(seen, F.count("*").alias("n")).write.mode("append").parquet(f"{self.path}/hot/batch={self.state['batches']}")
-        self.state["hot"] += seen.get["n"]
+    def _rules(self) -> blocking.Rules:
+        return blocking.Rules(HOT, LEVELS, GAP, PAGE, SAME, self.labels)
 
-    def _recount(self) -> None:
-        """Mark the keys of the last batches that hold more than HOT texts with those stored before."""
-        n = self.state["batches"]
-        every = self.spark.table(self._name("keys")).where((F.col("batch") <= n) & (F.col("part") == MET) & (F.col("kind") == MEMBER))
-        new = every.where(F.col("batch") > n - RECOUNT).select("key").distinct().hint("shuffle_hash")
-        known = self._small(self._files("hot", "key long").select("key"), self.state["hot"]) if self.state["hot"] else None
-        counts = every.join(new, "key", "left_semi").groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("key")
-        self._mark(counts if known is None else counts.join(known, "key", "left_anti"))
+    def _blocked(self, fresh: DataFrame) -> tuple[DataFrame, bool]:
+        """Store the keys and cards of the batch; (pairs that meet under a key, packed, whether some keys are saturated).
+
+        A level of hot keys and their combinations a round; a round meets what the store has of its level.
+        """
+        n, what = self.state["batches"], F.col("what")
+        rules = self._rules()
+        rows, made, crowds = fresh.mapInArrow(blocking.sent(rules, n > 0), blocking.BLOCK), [], 0
+        recount = n > 0 and n % RECOUNT == 0
+        for level in range(1, LEVELS + 1):
+            seen = Observation()
+            stored = self.spark.table(self._name("keys")).where((F.col("batch") < n) & (F.col("level") == level)).drop("batch", "level")
+            out = rows.groupBy("bucket").cogroup(stored.groupBy("bucket")).applyInArrow(blocking.decided(rules, level, n > 0, recount), blocking.BLOCK)
+            made.append(cut(out.observe(seen, F.count_if(what == blocking.CROWD).alias("crowds"), F.count_if(what.isin(blocking.OPEN, blocking.SPLIT)).alias("open"))))
+            crowds += seen.get["crowds"]
+            rows = made[-1].where(what.isin(blocking.OPEN, blocking.SPLIT))
+            if not seen.get["open"] and not recount:
+                break
+        self._append(made[0].where(what == blocking.CARDS), "cards", placed=True)
+        every = made[0]
+        for out in made[1:]:
+            every = every.unionAll(out)
+        self._append(every.where(what.isin(blocking.KEYS, blocking.HOT)), "keys", placed=True)
+        if crowds:
+            crowd = every.where(what == blocking.CROWD).mapInArrow(blocking.opened, "key long, seq long")
+            self._append(crowd.join(fresh.select("seq", "n", *SETS), "seq"), "crowds")
+        return every.where(what == blocking.PAIRS), crowds > 0
 
     # -- candidates
 
-    def _verified(self, met: DataFrame) -> tuple[DataFrame, int]:
-        """(pairs (a, b) with fields, score and sim, their number), from rows (a, b) of texts that met under a key."""
+    def _met(self, pairs: DataFrame) -> DataFrame:
+        """Pairs that word sets don't exclude, with fields, from packed ones."""
+        n = self.state["batches"]
+        rules = self._rules()
+        cards = self.spark.table(self._name("cards")).where(F.col("batch") <= n)
+        side = lambda df: df.select("bucket", "more").groupBy("bucket")
+        pairs = pairs.select("bucket", "key", "seq").groupBy("bucket").cogroup(side(cards.where(F.col("batch") == n))).applyInArrow(blocking.introduced(rules), blocking.BLOCK)
+        return pairs.groupBy("bucket").cogroup(side(cards)).applyInArrow(blocking.excluded(rules), blocking.FOUND)
+
+    def _possible(self, met: DataFrame) -> DataFrame:
+        """The same from rows (a, b)."""
         n = self.state["batches"]
         facts = self.spark.table(self._name("facts")).where(F.col("batch") <= n).drop("batch")
         side = lambda df, s: df.select(*(F.col(c).alias(f"{c}_{s}" if c != "seq" else s) for c in df.columns))
         pairs = met.repartition(self.buckets, "a").groupBy("a", "b").agg(F.count("*").cast("int").alias("shared"))
         pairs = pairs.hint("shuffle_hash").join(side(facts, "a"), "a")
         pairs = pairs.join(side(self._own("facts"), "b").hint("shuffle_hash"), "b").where(possible())
+        return pairs.select(*(c.split()[0] for c in blocking.FOUND.split(", ")))
+
+    def _verified(self, pairs: DataFrame) -> tuple[DataFrame, int]:
+        """(pairs with score and sim, their number), from pairs with fields."""
+        n = self.state["batches"]
         seen = Observation()
-        pairs = cut(scored(pairs, weights_of(self.state["counts"])).drop(*(f"{k}_{s}" for k in SETS for s in "ab")).observe(seen, F.count("*").alias("n")))
+        pairs = cut(scored(pairs, weights_of(self.state["counts"])).observe(seen, F.count("*").alias("n")))
         found = seen.get["n"]
         if not found:
             return pairs.withColumn("sim", F.lit(0.0)), 0
@@ -427,17 +425,6 @@ class Store:
         both = both.join(texts.select(F.col("seq").alias("a"), F.col("norm").alias("norm_a")), "a")
         return cut(both.withColumn("sim", similarity("norm_a", "norm_b")).drop("norm_a", "norm_b")), found
 
-    def _meet(self, new: DataFrame, anchors: DataFrame, probing: DataFrame) -> DataFrame:
-        """(a, b) of texts that meet under a key: new with the batch's anchors, probing with the store; lengths must allow 4/5."""
-        near = F.least("n_a", "n_b") >= F.lit(SAME) * F.greatest("n_a", "n_b") - F.lit(1e-9)
-        side = lambda df, s: df.select("key", F.col("seq").alias(s), F.col("n").alias(f"n_{s}"))
-        met = side(new, "b").join(side(anchors, "a"), "key").where((F.col("a") < F.col("b")) & near).select("a", "b")
-        stored = self._stored("keys")
-        if stored is None:
-            return met
-        stored = side(stored.where(F.col("part") == MET), "a")
-        return met.unionByName(side(probing, "b").hint("shuffle_hash").join(stored, "key").where(near).select("a", "b"))
-
     def _learn(self, verified: DataFrame) -> None:
         """Add the batch's counts of agreement levels; a few rows reach the driver, whatever the number of pairs."""
         rows = verified.groupBy(*FIELDS, (F.col("sim") >= SAME).alias("y")).count().collect()
@@ -447,46 +434,19 @@ class Store:
                 at = counts.setdefault(f"{field},{r[field]}", [0, 0])
                 at[0 if r["y"] else 1] += r["count"]
 
-    def _put_keys(self, fresh: DataFrame) -> bool:
-        """Store the keys of the batch; whether some of them are saturated."""
-        rows, seen = self._keys(fresh), Observation()
-        if not self.state["batches"]:
-            rows = rows.where(F.col("kind") != PROBE)  # there is nothing to probe
-        part = F.when(F.col("kind") == MEMBER, MET).when(F.col("kind") == PROBE, SPENT).otherwise(CROWD)
-        self._append(rows.withColumn("part", part).observe(seen, F.count_if(F.col("kind").isin(MANY, MANY_OLD)).alias("many")), "keys")
-        if not seen.get["many"]:
-            return False
-        w = Window.partitionBy("key").orderBy("seq")
-        first = self._own("keys").where(F.col("part") == CROWD).withColumn("place", F.row_number().over(w)).where(F.col("place") <= PAGE)
-        new = F.col("kind") == MANY
-        self._append(first.withColumns({"kind": F.when(new, ANCHOR).otherwise(GUEST), "part": F.when(new, MET).otherwise(SPENT)}), "keys")
-        return True
-
     def _crossed(self, roots: DataFrame) -> DataFrame:
-        """(a, b) of the texts of a crowd whose units differ, but for those that lengths and word sets exclude.
-
-        Texts of one unit in a crowd are met as blocks, so that the pairs within a unit are not even listed.
-        """
+        """(a, b) of the texts of a crowd whose units differ, but for those that lengths and word sets exclude."""
         n = self.state["batches"]
-        crowd = self.spark.table(self._name("keys")).where((F.col("batch") <= n) & (F.col("part") == CROWD)).select("key", "seq", (F.col("batch") == n).alias("new"))
-        own = crowd.where("new")
+        crowd = self.spark.table(self._name("crowds")).where(F.col("batch") <= n).withColumn("new", F.col("batch") == n).drop("batch")
         if n:
-            crowd = crowd.join(own.select("key").distinct(), "key", "left_semi")
+            crowd = crowd.join(self._own("crowds").select("key").distinct(), "key", "left_semi")
         unit, units = F.col("seq"), self._stored("units")
         if units is not None:
             crowd = self._top(crowd.join(units, "seq", "left"), "root").withColumnRenamed("root", "known")
             unit = F.coalesce("known", "seq")
-        crowd = crowd.withColumn("unit", unit).join(roots.withColumnRenamed("node", "unit"), "unit", "left")
-        facts = self.spark.table(self._name("facts")).where(F.col("batch") <= n).select("seq", "n", *SETS)
-        crowd = cut(crowd.select("key", "seq", "new", F.coalesce("root", "unit").alias("unit")).join(facts, "seq"))
-        w = Window.partitionBy("key", "unit", "new").orderBy("seq")
-        blocks = crowd.withColumn("block", F.floor((F.row_number().over(w) - 1) / BLOCK))
-        blocks = blocks.groupBy("key", "unit", "new", "block").agg(F.collect_list(F.struct(*(F.col(c).alias(f"{c}_a" if c != "seq" else "a") for c in ("seq", "n", *SETS)))).alias("texts"))
-        own = crowd.where("new").select("key", F.col("unit").alias("unit_b"), F.col("seq").alias("b"), *(F.col(c).alias(f"{c}_b") for c in ("n", *SETS)))
-        met = own.join(blocks, "key").where(F.col("unit") != F.col("unit_b"))
-        near = F.least("n_a", "n_b") >= F.lit(SAME) * F.greatest("n_a", "n_b") - F.lit(1e-9)
-        met = met.select("b", "new", "n_b", *(f"{k}_b" for k in SETS), F.inline("texts"))
-        return met.where(near & (~F.col("new") | (F.col("a") < F.col("b"))) & possible()).select("a", "b")
+        crowd = crowd.withColumn("unit", unit).join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("unit", F.coalesce("root", "unit"))
+        crowd = crowd.select(*(c.split()[0] for c in blocking.CROSSED.split(", "))).groupBy(F.pmod(F.hash("key"), F.lit(self.buckets)))
+        return crowd.applyInArrow(blocking.crossed(self._rules()), "a long, b long")
 
     # -- one batch
 
@@ -511,22 +471,17 @@ class Store:
         self._forget_unfinished()
         with self._plans(False):
             first, fresh = self._sketched(batch)
-            self._find_hot(fresh)
-            crowded = self._put_keys(fresh)
-            own = self._own("keys")
-            kinds = lambda *k: own.where(F.col("kind").isin(*k))
-            verified, n = self._verified(self._meet(kinds(MEMBER, MANY, MANY_OLD), kinds(MEMBER, ANCHOR, GUEST), kinds(MEMBER, PROBE, MANY, MANY_OLD)))
+            pairs, crowded = self._blocked(fresh)
+            verified, n = self._verified(self._met(pairs))
             if n:
                 self._learn(verified)
             linked = verified.where(F.col("sim") >= SAME).select("a", "b")
             edges, roots = self._roots(linked)
             if crowded:
-                more, n = self._verified(self._crossed(roots))
+                more, n = self._verified(self._possible(self._crossed(roots)))
                 if n:
                     edges, roots = self._roots(linked.unionByName(more.where(F.col("sim") >= SAME).select("a", "b")))
-            own_rows = self._united(first, fresh, edges, roots)
-            if self.state["batches"] and self.state["batches"] % RECOUNT == 0:
-                self._recount()
+            own_rows = self._united(first, edges, roots)
         with self._plans(True):  # one text may be a third of the rows
             rows = self._files("rows", _SKETCH).where(F.col("batch") == self.state["batches"])
             links = rows.select("seq", "h1", "h2").join(own_rows.select("h1", "h2", "root"), ["h1", "h2"]).where("root < seq")
@@ -539,15 +494,15 @@ class Store:
 
     def _sketched(self, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(first row of each text of the batch with the root it is known under, the texts that are new)."""
-        self._put(sketches(batch), "rows")
-        rows = self._files("rows", _SKETCH).where(F.col("batch") == self.state["batches"])
-        first = rows.groupBy("h1", "h2").agg(F.min(F.struct("seq", "n", "v", "w", "path", "coll", *SETS)).alias("x"))
+        self._put(sketches(batch).withColumn("rid", F.monotonically_increasing_id()), "rows")
+        rows = self._files("rows", _SKETCH + ", rid long").where(F.col("batch") == self.state["batches"]).drop("batch")
+        first, seen = rows.groupBy("h1", "h2").agg(F.min("seq").alias("seq"), F.min_by("rid", "seq").alias("rid")), Observation()
         exact = self._stored("exact")
         first = first.withColumn("old", F.lit(None).cast("long")) if exact is None else first.hint("shuffle_hash").join(exact.select("h1", "h2", F.col("root").alias("old")), ["h1", "h2"], "left")
-        first = cut(first.select("h1", "h2", "old", "x.*"))
-        fresh = first.where("old IS NULL").drop("h1", "h2", "old")
+        first = cut(first.observe(seen, F.count("*").alias("n")))
+        fresh = rows.drop("h1", "h2", "norm").join(self._small(first.where("old IS NULL").select("rid"), seen.get["n"]), "rid", "left_semi").drop("rid")
         self._append(fresh.select("seq", "n", "path", "coll", *SETS), "facts")
-        return first, fresh
+        return first.drop("rid"), fresh
 
     def _top(self, df: DataFrame, column: str) -> DataFrame:
         """df with the column's units replaced by those they were merged into."""
@@ -567,7 +522,7 @@ class Store:
             return edges, components(pairs)
         return edges, F.broadcast(self.spark.createDataFrame(united([tuple(r) for r in pairs.collect()]), "node long, root long"))
 
-    def _united(self, first: DataFrame, fresh: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
+    def _united(self, first: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
         """Join the links' units, store the new texts' units, and return (h1, h2, root) of the batch's texts."""
         if self.state["batches"]:
             moved = roots.where("root < node").join(edges.where("root IS NOT NULL").select(F.col("root").alias("node")).distinct(), "node", "left_semi")
@@ -577,7 +532,7 @@ class Store:
                 self.state["merged"] += seen.get["n"]
                 self.state["logs"] = [*self.state.get("logs", []), self.state["batches"]]
                 self._compact_merged()
-        labels = fresh.select("seq").join(roots.select(F.col("node").alias("seq"), "root"), "seq", "left").select("seq", F.coalesce("root", "seq").alias("root"))
+        labels = first.where("old IS NULL").select("seq").join(roots.select(F.col("node").alias("seq"), "root"), "seq", "left").select("seq", F.coalesce("root", "seq").alias("root"))
         self._append(labels, "units")
         own = self._top(first.select("h1", "h2", "seq", "old"), "old").join(self._own("units"), "seq", "left")
         own = cut(own.select("h1", "h2", "old", F.coalesce("old", "root").alias("root")))
