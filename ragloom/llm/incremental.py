@@ -79,10 +79,12 @@ FORMAT = 3
 #: Logs of merged units that are kept before they become one.
 LOGS = 8
 _WORD = re.compile(r"[^\W_]+")
+#: ASCII characters in lower case, and blanks for those that are not of words.
+_ASCII = "".join(chr(c).lower() if chr(c).isalnum() else " " for c in range(128))
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return text.translate(_ASCII).split() if text.isascii() else _WORD.findall(text.lower())
 
 
 def shared_in_order(a: list, b: list) -> int:
@@ -102,6 +104,15 @@ def shared_in_order(a: list, b: list) -> int:
 class Sketch:
     """Exact hashes, shingle lists and word sets of lists of words."""
 
+    @staticmethod
+    def _distinct(doc: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The different values of each text, in order."""
+        order = np.lexsort((value, doc))
+        doc, value = doc[order], value[order]
+        keep = np.ones(len(doc), dtype=bool)
+        keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
+        return doc[keep], value[keep]
+
     def __init__(self):
         self.memo: dict[str, int] = {}
 
@@ -120,12 +131,20 @@ class Sketch:
         doc = np.repeat(np.arange(len(lengths)), lengths)[:n]
         good = (np.arange(n) + span <= np.cumsum(lengths)[doc]) & wanted[doc]
         doc, value = doc[good], total[good]
-        order = np.lexsort((value, doc))
-        doc, value = doc[order], value[order]
-        keep = np.ones(len(doc), dtype=bool)
-        keep[1:] = (doc[1:] != doc[:-1]) | (value[1:] != value[:-1])
-        doc, value = doc[keep], value[keep]
-        if most is not None:
+        if most is None:
+            doc, value = Sketch._distinct(doc, value)
+        else:
+            number = np.bincount(doc, minlength=len(lengths))
+            bound = (np.minimum(3 * most / np.maximum(number, 1), 0.99) * 2.0**64).astype(np.uint64)
+            low = value < bound[doc]
+            some, small = Sketch._distinct(doc[low], value[low])
+            few = np.bincount(some, minlength=len(lengths)) < most  # only they need all of their shingles
+            rest = few[doc]
+            more, large = Sketch._distinct(doc[rest], value[rest])
+            keep = ~few[some]
+            doc, value = np.concatenate([some[keep], more]), np.concatenate([small[keep], large])
+            order = np.argsort(doc, kind="stable")
+            doc, value = doc[order], value[order]
             start = np.flatnonzero(np.diff(doc, prepend=-1))
             rank = np.arange(len(doc)) - np.repeat(start, np.diff(np.append(start, len(doc))))
             doc, value = doc[rank < most], value[rank < most]

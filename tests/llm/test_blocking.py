@@ -81,3 +81,23 @@ def test_crossed():
             if x["key"] == y["key"] and x["unit"] != y["unit"] and y["new"] and (not x["new"] or x["seq"] < y["seq"]) and min(x["n"], y["n"]) >= need and lost(x, y) <= x["n"] - need and lost(y, x) <= y["n"] - need:
                 want.append((x["seq"], y["seq"]))
     assert got == sorted(want) and want
+
+
+def test_words_of_ascii_texts():
+    """The short way for ASCII texts gives the words of the general one."""
+    every = "".join(map(chr, range(128)))
+    for text in (every, " ".join(every), every[::-1], "", "A_b-C1.2", "a\x1fb\x0bc"):
+        assert op.words_of(text) == op._WORD.findall(text.lower())
+    assert op.words_of("Stra\u00dfe_\u0130x \u00c9t\u00e9") == op._WORD.findall("Stra\u00dfe_\u0130x \u00c9t\u00e9".lower())
+
+
+def test_smallest_shingles():
+    """The smallest are those of a whole sort, also of texts of few different shingles."""
+    rng = random.Random(5)
+    texts = [[rng.choice("abcdefghijklmnopqrstuvwxyz"[:k]) + str(rng.randrange(m)) for _ in range(n)] for k, m, n in ((1, 1, 300), (2, 1, 400), (26, 99, 500), (26, 99, 25), (3, 2, 90), (26, 99, 3), (26, 999, 2000)) for _ in range(9)]
+    h = np.array([hash(w) % (1 << 64) for t in texts for w in t], np.uint64)
+    lengths = np.array([len(t) for t in texts])
+    some = op.Sketch._lists(h, lengths, op.SPAN, lengths > op.SHORT, op.KEYS).to_pylist()
+    every = op.Sketch._lists(h, lengths, op.SPAN, lengths > op.SHORT, None).to_pylist()
+    order = lambda l: sorted(x % (1 << 64) for x in l)  # noqa: E731, E741
+    assert [x and [v % (1 << 64) for v in x] for x in some] == [x and order(x)[: op.KEYS] for x in every]
